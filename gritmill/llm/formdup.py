@@ -7,13 +7,12 @@
 3. Only records whose bits are all in `repeated` can have a copy. They alone are shuffled and grouped exactly by
    hash; all others are singletons and are put out where they stand.
 
-A false positive of the filter costs a shuffled row, never a wrong result. The filter has `BITS_PER_KEY` bits a
-record up to `MAX_BITS` in all (128 MB, the bound of what is broadcast); beyond that it only gets less selective.
+A false positive of the filter costs a shuffled row, never a wrong result. The filter's size has a fixed bound
+(see `bloom`); beyond it the filter only gets less selective.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,16 +21,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gritmill.llm import bloom
 from gritmill.llm.canon import record_key
 from gritmill.session import materialise
 
-BITS_PER_KEY = 16
-HASHES = 2
-SEGMENT_BITS = 1 << 22
-MAX_BITS = 1 << 30
-
 _KEYS = "row_id bigint, h1 bigint, h2 bigint"
-_PARTS = "seg int, once binary, rep binary"
 
 
 def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,70 +43,10 @@ def canonical_hashes(report: DataFrame) -> DataFrame:
     return report.select("row_id", F.col("evidence.snippet"), F.col("location.file"), "title").mapInArrow(_hash_rows, _KEYS)
 
 
-def _positions(h: np.ndarray, bits: int) -> np.ndarray:
-    u = h.astype(np.uint64)
-    return np.stack([(u[:, 0] + np.uint64(i) * (u[:, 1] | np.uint64(1))) & np.uint64(bits - 1) for i in range(HASHES)], axis=1).astype(np.int64)
-
-
-def _pack(pos: np.ndarray) -> bytes:
-    return zlib.compress(np.diff(pos, prepend=0).astype("<u4").tobytes(), 1)
-
-
-def _unpack(b: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(b), dtype="<u4").astype(np.int64))
-
-
-def _table(b: pa.RecordBatch) -> np.ndarray:
-    return np.stack([b.column("h1").to_numpy(zero_copy_only=False), b.column("h2").to_numpy(zero_copy_only=False)], axis=1).astype(np.int64)
-
-
-def _partials(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [_table(b) for b in batches]
-        if not sum(map(len, got)):
-            return
-        h, n = np.unique(np.concatenate(got), axis=0, return_counts=True)
-        once, rep = np.unique(_positions(h, bits)), np.unique(_positions(h[n > 1], bits))
-        cut = np.arange(0, bits + SEGMENT_BITS, SEGMENT_BITS)
-        a, r = np.searchsorted(once, cut), np.searchsorted(rep, cut)
-        rows = [(s, _pack(once[a[s] : a[s + 1]] - s * SEGMENT_BITS), _pack(rep[r[s] : r[s + 1]] - s * SEGMENT_BITS)) for s in range(len(cut) - 1) if a[s] < a[s + 1]]
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["seg", "once", "rep"])
-
-    return run
-
-
-def _merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    once, rep = np.zeros(SEGMENT_BITS, bool), np.zeros(SEGMENT_BITS, bool)
-    for b in batches:
-        for o, r in zip(b.column("once").to_pylist(), b.column("rep").to_pylist()):
-            pos = _unpack(o)
-            rep[pos[once[pos]]] = True
-            once[pos] = True
-            rep[_unpack(r)] = True
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(np.packbits(rep).tobytes(), 1)], pa.binary())], names=["seg", "rep"])
-
-
 def possible_repeats(keys: DataFrame) -> DataFrame:
     """`keys` with ``maybe``: false for rows that certainly have no copy (and for those without a hash)."""
-    spark = keys.sparkSession
-    hashed = keys.where("h1 IS NOT NULL")
-    n = hashed.count()
-    bits = min(MAX_BITS, max(SEGMENT_BITS, 1 << (max(1, n) * BITS_PER_KEY - 1).bit_length()))
-    merged = hashed.select("h1", "h2").mapInArrow(_partials(bits), _PARTS).groupBy("seg").applyInArrow(_merge, "seg int, rep binary")
-    filters = spark.sparkContext.broadcast({r.seg: r.rep for r in merged.collect()})  # at most MAX_BITS / 8 bytes
-
-    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rep = np.zeros(bits // 8, np.uint8)
-        for s, z in filters.value.items():
-            rep[s * SEGMENT_BITS // 8 : (s + 1) * SEGMENT_BITS // 8] = np.frombuffer(zlib.decompress(z), np.uint8)
-        for b in batches:
-            null = b.column("h1").is_null().to_numpy(zero_copy_only=False)
-            h = np.stack([b.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in ("h1", "h2")], axis=1).astype(np.int64)
-            pos = _positions(h, bits)
-            maybe = ((rep[pos >> 3] >> (7 - (pos & 7)).astype(np.uint8)) & 1).all(axis=1) & ~null
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(maybe)], names=[*b.schema.names, "maybe"])
-
-    return keys.mapInArrow(flag, f"{_KEYS}, maybe boolean")
+    n = keys.where("h1 IS NOT NULL").count()
+    return bloom.flagged(keys, ["h1", "h2"], bloom.merged(keys, ["h1", "h2"], n, repeated=True), "maybe")
 
 
 def _groups(flagged: DataFrame) -> DataFrame:

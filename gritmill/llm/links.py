@@ -1,0 +1,32 @@
+"""Least labels over links, without collecting them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gritmill.session import materialise
+
+
+def least_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``(id, label)``: the least label that reaches each node over undirected `links` ``(a, b)``.
+
+    `labels` ``(id, label)`` gives start values; nodes that occur in links alone start with their own id. In each round
+    every node takes the least label among itself and its neighbours, pre-aggregated before the shuffle; a label is
+    itself a node's id in most cases, so taking the label's label as well halves long chains. Each round is written to the
+    shared folder. Ends when nothing changes.
+    """
+    links = materialise(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
+    nodes = labels.unionByName(links.select(F.col("a").alias("id"), F.col("a").alias("label")))
+    cur = materialise(nodes.groupBy("id").agg(F.min("label").alias("label")), "labels")
+    if links.isEmpty():
+        return cur
+    while True:
+        near = links.join(cur, links.b == cur.id).select(F.col("a").alias("id"), "label")
+        step = cur.unionByName(near).groupBy("id").agg(F.min("label").alias("label"))
+        up = cur.select(F.col("id").alias("label"), F.col("label").alias("top"))
+        jumped = step.join(up, "label", "left").select("id", F.least("label", "top").alias("label"))
+        nxt = materialise(jumped, "labels")
+        if nxt.join(cur.withColumnRenamed("label", "was"), "id").where("label < was").isEmpty():
+            return nxt
+        cur = nxt

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gritmill.llm.formdup import collapsed_records, form_duplicates
+from gritmill.llm.history import repeats_of_history
 from gritmill.plans.registry import query
 from gritmill.session import table
 
@@ -17,3 +18,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p5_records")
 def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapsed_records(table(spark, sf_dir, "report"))
+
+
+@query("p1_found")
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_of_history(table(spark, sf_dir, "report"))
