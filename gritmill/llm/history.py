@@ -44,8 +44,9 @@ WINDOW = 8
 MAX_APART = 24
 #: Two texts repeat one another if more than this share of the distinct words of both is shared.
 SIMILAR = 0.6
-#: A word in more than this share of the first texts makes no keys; a text with fewer than MIN_RARE other words uses all.
-COMMON_SHARE, MIN_RARE = 0.005, 6
+#: A word in more than this share of the first texts makes no keys, unless a text has fewer than MIN_RARE other words:
+#: then its least frequent ones fill up.
+COMMON_SHARE, MIN_RARE = 0.005, 8
 COMPACT_EVERY = 6
 
 _WORD = re.compile(r"\w+")
@@ -107,7 +108,7 @@ def _keys(common):
     """Key rows of texts given as (row_id, fp1, words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = common.value
+        frequent, rank = common.value
         for b in batches:
             ids = b.column("row_id").to_numpy(zero_copy_only=False)
             if not len(ids):
@@ -117,10 +118,13 @@ def _keys(common):
             n = pa.compute.list_value_length(col).to_numpy(zero_copy_only=False).astype(np.int64)
             owner = np.repeat(np.arange(len(ids)), n)
             rare = ~np.isin(flat, frequent)
-            few = np.bincount(owner[rare], minlength=len(ids)) < MIN_RARE
-            keep = rare | few[owner]
-            x = flat.view(np.uint32).astype(np.uint64)
+            lack = MIN_RARE - np.bincount(owner[rare], minlength=len(ids))
             starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+            keep = rare.copy()
+            for t in np.flatnonzero(lack > 0):
+                at = np.flatnonzero(~rare[starts[t] : starts[t] + n[t]]) + starts[t]
+                keep[at[np.argsort(rank[np.searchsorted(frequent, flat[at])])[: lack[t]]]] = True
+            x = flat.view(np.uint32).astype(np.uint64)
             kept = np.bincount(owner[keep], minlength=len(ids))
             kstarts = np.concatenate([[0], np.cumsum(kept)[:-1]])
             low = _least(x[keep], kstarts, ORDERS * (DEPTH + 1), 11)
@@ -186,8 +190,10 @@ class History:
         n = texts.count()
         df = texts.select(F.explode("words").alias("w")).groupBy("w").count().where(F.col("count") > F.lit(COMMON_SHARE) * n)
         # at most (words of a mean text) / COMMON_SHARE entries
-        words = np.array(sorted(r.w for r in df.select("w").collect()), np.int32) if n else np.zeros(0, np.int32)
-        self.common = self.spark.sparkContext.broadcast(words)
+        by_rank = [r.w for r in df.orderBy("count", "w").select("w").collect()] if n else []
+        words = np.array(by_rank, np.int32)
+        order = np.argsort(words)
+        self.common = self.spark.sparkContext.broadcast((words[order], order))
 
     def ingest(self, rows: DataFrame) -> DataFrame:
         """Takes one batch of sketches and accepts it; gives ``(fp1, fp2, first_row_id)`` of each distinct text of the batch.

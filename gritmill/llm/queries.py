@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gritmill.llm.formdup import collapsed_records, form_duplicates
 from gritmill.llm.history import repeats_of_history
+from gritmill.llm.tokens import decode_corpus, encode_corpus
 from gritmill.plans.registry import query
 from gritmill.session import table
 
@@ -23,3 +24,14 @@ def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p1_found")
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_of_history(table(spark, sf_dir, "report"))
+
+
+@query("p6_ids")
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_corpus(table(spark, sf_dir, "documents"))
+
+
+@query("p6_decoded", "SELECT doc_id, coalesce(text, '') AS text FROM documents")
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The round trip through ids gives every text back."""
+    return decode_corpus(encode_corpus(table(spark, sf_dir, "documents")))
