@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gritmill.llm.formdup import collapsed_records, form_duplicates
 from gritmill.llm.history import repeats_of_history
+from gritmill.llm.levels import reading_levels
+from gritmill.llm.mixing import mix, mix_shares
 from gritmill.llm.tokens import decode_corpus, encode_corpus
 from gritmill.plans.registry import query
 from gritmill.session import table
@@ -35,3 +37,18 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The round trip through ids gives every text back."""
     return decode_corpus(encode_corpus(table(spark, sf_dir, "documents")))
+
+
+@query("p7_mix")
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+@query("p7_shares")
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+@query("p8_found")
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_levels")).select("doc_id", "reading_level")

@@ -241,21 +241,23 @@ def encode_corpus(docs: DataFrame, path: str | None = None, doc_id: str = "doc_i
     return docs.select(docs[doc_id].cast("bigint"), docs[text]).mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
-def token_counts(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, n_tokens)``; as `encode_corpus`, but only the counts leave the worker."""
+def token_counts(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``(doc_id, *keep, n_tokens)``; as `encode_corpus`, but only the counts leave the worker. `keep` names further columns to carry along."""
     path = path or vocabulary_path()
+    keep = keep or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
             n = []
-            for t in b.column(1):
+            for t in b.column(0):
                 ids = array("i")
                 enc.into(ids, t.as_py())
                 n.append(len(ids))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(n, pa.int64())], names=["doc_id", *keep, "n_tokens"])
 
-    return docs.select(docs[doc_id].cast("bigint"), docs[text]).mapInArrow(run, "doc_id bigint, n_tokens bigint")
+    out = docs.select(docs[text], docs[doc_id].cast("bigint").alias("doc_id"), *keep)
+    return out.mapInArrow(run, "doc_id bigint, " + "".join(f"`{k}` {t}, " for k, t in out.dtypes[2:]) + "n_tokens bigint")
 
 
 def decode_stream(ids: Iterable[int], bytes_of: dict[int, bytes]) -> Iterator[str]:
