@@ -8,6 +8,7 @@ from gritmill.llm.formdup import collapsed_records, form_duplicates
 from gritmill.llm.history import repeats_of_history
 from gritmill.llm.levels import reading_levels
 from gritmill.llm.mixing import mix, mix_shares
+from gritmill.llm.secrets import found_places, masked_snippets
 from gritmill.llm.tokens import decode_corpus, encode_corpus
 from gritmill.plans.registry import query
 from gritmill.session import table
@@ -52,3 +53,17 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p8_found")
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_levels")).select("doc_id", "reading_level")
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    return [table(spark, sf_dir, t) for t in ("report", "gitleaks", "trivy")]
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found_places(*_scanned(spark, sf_dir))
+
+
+@query("p4_masked")
+def p4_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_snippets(*_scanned(spark, sf_dir))
