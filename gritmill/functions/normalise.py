@@ -51,7 +51,7 @@ def non_empty(c: Column) -> Column:
 
 def fingerprint() -> Column:
     """COR-13: sha-256 over rule, path and snippet of a finding."""
-    rule = F.coalesce(non_empty(F.col("subcategory")), non_empty(F.col("detection.rules")[0]["ruleId"]), F.col("title"), F.lit("undefined"))
+    rule = F.coalesce(non_empty(F.col("subcategory")), non_empty(F.get(F.col("detection.rules"), F.lit(0))["ruleId"]), F.col("title"), F.lit("undefined"))
     zero = F.lit("\x00")
     return F.sha2(F.concat(rule, zero, path_key(F.col("location.file")), zero, snippet_key(F.col("evidence.snippet"))), 256)
 
@@ -88,7 +88,7 @@ def advisory_ids(texts: Column) -> Column:
 def version_key(c: Column) -> Column:
     """NORM-16: up to four numeric parts, padded with 0; null where any part is no number. Arrays compare part by part."""
     v = F.trim(F.coalesce(c, F.lit("")))
-    parts = F.transform(F.split(v, r"\."), lambda p: p.cast("int"))
+    parts = F.transform(F.split(v, r"\."), lambda p: p.try_cast("int"))
     return F.when(v.rlike(r"^\d{1,9}(\.\d{1,9}){0,3}\z"), F.slice(F.concat(parts, F.array(*[F.lit(0)] * 3)), 1, 4))
 
 

@@ -262,8 +262,8 @@ def correlation_stats(canonical: DataFrame) -> DataFrame:
 
 def rule_family() -> Column:
     """Tool and rule that make a family; null for findings that are never folded."""
-    tool = F.lower(F.coalesce(F.when(F.col("sources")[0]["tool"] != "", F.col("sources")[0]["tool"]), F.lit("unknown")))
-    rule = F.coalesce(F.when(F.col("detection.rules")[0]["ruleId"] != "", F.col("detection.rules")[0]["ruleId"]), F.when(F.col("subcategory") != "", F.col("subcategory")), F.col("title"), F.lit("undefined"))
+    tool = F.lower(F.coalesce(F.when(F.get(F.col("sources"), F.lit(0))["tool"] != "", F.get(F.col("sources"), F.lit(0))["tool"]), F.lit("unknown")))
+    rule = F.coalesce(F.when(F.get(F.col("detection.rules"), F.lit(0))["ruleId"] != "", F.get(F.col("detection.rules"), F.lit(0))["ruleId"]), F.when(F.col("subcategory") != "", F.col("subcategory")), F.col("title"), F.lit("undefined"))
     exempt = F.coalesce(F.col("severity") == "INFO", F.lit(False)) | F.coalesce(F.col("category") == "dependency", F.lit(False))
     return F.when(~exempt, F.concat(tool, F.lit(":"), rule))
 
@@ -294,7 +294,7 @@ def consolidate(findings: DataFrame, max_locations: int = 500) -> DataFrame:
     old = F.coalesce(F.col("location.additionalLocations"), F.array().cast("array<struct<file string, startLine int, note string>>"))
     room = F.greatest(F.lit(0), F.lit(max_locations) - F.size(old))
     extra = F.concat(old, F.slice(F.coalesce(F.col("__places"), F.array().cast("array<struct<file string, startLine int, note string>>")), F.lit(1), room))
-    rule = F.coalesce(F.when(F.col("detection.rules")[0]["ruleId"] != "", F.col("detection.rules")[0]["ruleId"]), F.when(F.col("subcategory") != "", F.col("subcategory")))
+    rule = F.coalesce(F.when(F.get(F.col("detection.rules"), F.lit(0))["ruleId"] != "", F.get(F.col("detection.rules"), F.lit(0))["ruleId"]), F.when(F.col("subcategory") != "", F.col("subcategory")))
     extras = F.size("__extra") > 0
     return (
         kept.withColumn("__extra", extra)
