@@ -1,0 +1,203 @@
+"""Text, rule, manifest, roll-up and sink operators over whole driver tables.
+
+`documents` stands in for source trees (its code and configuration files have paths and repositories), `trivy` and `snyk`
+for package inventories.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gritmill.functions import normalise as N
+from gritmill.functions import redact
+from gritmill.functions import text as T
+from gritmill.operators import crosscheck, discovery, native_rules, supplychain
+from gritmill.operators import rollups as R
+from gritmill.plans.findings import RANKS, findings
+from gritmill.plans.registry import query
+from gritmill.schema import conform
+from gritmill.session import table
+from gritmill.sinks import tables as sinks
+from gritmill.sources.nuget import nuget_items
+
+NOW = "2025-07-01T00:00:00"
+
+
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("repo").alias("project"), "path", "text")
+
+
+_LINES = "(SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS n, len(l) AS total FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS l FROM documents WHERE text IS NOT NULL))"
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return d.select("doc_id", F.posexplode(T.lines_of(F.col("text"))).alias("i", "line")).select("doc_id", (F.col("i") + 1).alias("n"), "line")
+
+
+query("line_explode", f"SELECT doc_id, n, line FROM {_LINES}")(_lines)
+
+#: Rules that both engines' regular expressions understand.
+RULES = {
+    "secret": r'(?i)(password|secret|token|pwd)\w*\s*[=:]\s*"[^"]{6,}"',
+    "url": r"https?://[A-Za-z0-9./_-]+",
+    "cve": r"CVE-[0-9]{4}-[0-9]{4,7}",
+    "todo": r"TODO|FIXME|changeme",
+    "sql": r"(?i)CommandText\s*=",
+}
+query(
+    "rule_scan_multi",
+    "SELECT doc_id, n, rule FROM (SELECT doc_id, n, unnest([" + ", ".join(f"CASE WHEN regexp_matches(line, '{p}') THEN '{r}' END" for r, p in RULES.items()) + f"]) AS rule FROM {_LINES}) WHERE rule IS NOT NULL",
+)(lambda spark, d: _lines(spark, d).select("doc_id", "n", F.explode(F.filter(F.array(*[F.when(F.col("line").rlike(p), r) for r, p in RULES.items()]), lambda x: x.isNotNull())).alias("rule")))
+
+
+@query(
+    "window_rule_scan",
+    rf"""
+WITH l AS (SELECT doc_id, regexp_split_to_array(text, '\r?\n') AS l FROM documents WHERE text IS NOT NULL), x AS (SELECT doc_id, l, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM l)
+SELECT doc_id, n FROM x WHERE regexp_matches(line, '\.CommandText\s*=') AND regexp_matches(array_to_string(l[n:n + 3], ' '), '"\s*\+\s*\w')
+""",
+)
+def window_rule_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line with a command text, built from parts within three lines: one pass over arrays of lines."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", T.lines_of(F.col("text")).alias("l"))
+    hits = F.filter(F.transform("l", lambda line, i: F.when(line.rlike(r"\.CommandText\s*=") & T.window_after(F.col("l"), i + 1, 3).rlike(r'"\s*\+\s*\w'), i + 1)), lambda x: x.isNotNull())
+    return d.select("doc_id", F.explode(hits).alias("n"))
+
+
+query("first_n_per_file", f"SELECT doc_id, n FROM {_LINES} WHERE regexp_matches(line, 'Regex') QUALIFY row_number() OVER (PARTITION BY doc_id, total ORDER BY n) <= 3")(
+    lambda spark, d: table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.explode(F.slice(F.filter(F.transform(T.lines_of(F.col("text")), lambda x, i: F.when(x.rlike("Regex"), i + 1)), lambda x: x.isNotNull()), 1, 3)).alias("n"))
+)
+query(
+    "offset_to_line",
+    "SELECT doc_id, 1 + length(h) - length(replace(h, chr(10), '')) AS line FROM (SELECT doc_id, regexp_extract(text, '(?s)^(.*?)connectionString', 1) AS h, text FROM documents) WHERE regexp_matches(text, 'connectionString')",
+)(lambda spark, d: table(spark, d, "documents").where("text LIKE '%connectionString%'").select("doc_id", T.first_line(F.col("text"), "connectionString").alias("line")))
+query(
+    "xml_attributes",
+    """SELECT doc_id, e AS hit, CASE WHEN regexp_matches(e, '(?i)key\\s*=\\s*"([^"]*)"') THEN regexp_extract(e, '(?i)key\\s*=\\s*"([^"]*)"', 1) END AS key FROM (SELECT doc_id, unnest(regexp_extract_all(text, '<add [^>]*>')) AS e FROM documents)""",
+)(lambda spark, d: table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("<add [^>]*>"), F.lit(0))).alias("hit")).withColumn("key", T.attribute(F.col("hit"), "key")))
+query(
+    "advisory_mentions",
+    r"SELECT DISTINCT doc_id, upper(a) AS advisory FROM (SELECT doc_id, text, unnest(regexp_extract_all(text, '(?i)(CVE-\d{4}-\d{4,7}|GHSA-[0-9a-z]{4}-[0-9a-z]{4}-[0-9a-z]{4})', 1)) AS a FROM documents)",
+)(lambda spark, d: table(spark, d, "documents").select("doc_id", F.explode(N.advisory_ids(F.array("text"))).alias("advisory")).distinct())
+query("cwe_counts", "SELECT c AS cwe, count(*) AS n FROM (SELECT unnest(cwe) AS c FROM report) WHERE c IS NOT NULL GROUP BY 1")(lambda spark, d: table(spark, d, "report").select(F.explode("cwe").alias("cwe")).where("cwe IS NOT NULL").groupBy("cwe").agg(F.count("*").alias("n")))
+query("catalog_grouping", "SELECT 'lang' AS dimension, lang AS value, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source")(lambda spark, d: R.counts_by(table(spark, d, "documents"), "lang", "source"))
+
+
+def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "trivy").select("repo", F.explode("Results").alias("r")).select("repo", F.explode("r.Vulnerabilities").alias("v")).where("v IS NOT NULL")
+    return r.select(F.col("repo").alias("project"), F.col("v.PkgName").alias("name"), F.col("v.InstalledVersion").alias("version"), F.col("v.FixedVersion").alias("fixed"))
+
+
+_PKG = "(SELECT repo AS project, v.PkgName AS name, v.InstalledVersion AS version, v.FixedVersion AS fixed FROM (SELECT repo, unnest(r.Vulnerabilities) AS v FROM (SELECT repo, unnest(Results) AS r FROM trivy)) WHERE v IS NOT NULL)"
+_VKEY = "CASE WHEN regexp_matches(trim(coalesce({0}, '')), '^\\d{{1,9}}(\\.\\d{{1,9}}){{0,3}}$') THEN list_slice(list_concat(list_transform(string_split(trim({0}), '.'), lambda x: TRY_CAST(x AS INTEGER)), [0, 0, 0]), 1, 4) END"
+query("version_compare", f"SELECT project, name, version, fixed, coalesce({_VKEY.format('version')} < {_VKEY.format('fixed')}, false) AS older FROM {_PKG}")(
+    lambda spark, d: _packages(spark, d).withColumn("older", F.coalesce(N.version_key(F.col("version")) < N.version_key(F.col("fixed")), F.lit(False)))
+)
+query("version_conflicts", f"SELECT project, lower(name) AS name, list_sort(list_distinct(list(version))) AS versions FROM {_PKG} WHERE name IS NOT NULL AND version IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT version) > 1")(lambda spark, d: supplychain.version_conflicts(_packages(spark, d)))
+KNOWN = ["brightloom.json", "quarrystone.pdf", "fernhill.http", "tidewell.jsom"]
+query(
+    "name_risk",
+    f"""
+WITH n AS (SELECT DISTINCT name, lower(trim(name)) AS low FROM {_PKG} WHERE name IS NOT NULL AND trim(name) <> ''), k AS (SELECT unnest({KNOWN}) AS k, generate_subscripts({KNOWN}, 1) AS i),
+m AS (SELECT n.name, n.low, k.k, levenshtein(n.low, k.k) AS dist, i FROM n JOIN k ON abs(length(k.k) - length(n.low)) <= 2), b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY name ORDER BY dist, i) = 1)
+SELECT n.name, CASE WHEN NOT regexp_matches(n.name, '[^A-Za-z0-9._\\- ]') THEN b.k END AS nearest, CASE WHEN NOT regexp_matches(n.name, '[^A-Za-z0-9._\\- ]') THEN b.dist END AS distance FROM n LEFT JOIN b ON b.name = n.name
+WHERE n.low NOT IN (SELECT k FROM k) AND (regexp_matches(n.name, '[^A-Za-z0-9._\\- ]') OR (b.dist = 1 AND length(n.low) >= 6) OR (b.dist = 2 AND length(n.low) >= 14))
+""",
+)(lambda spark, d: supplychain.name_risk(_packages(spark, d).select("name").distinct(), KNOWN))
+query(
+    "source_mapping",
+    f"SELECT DISTINCT project, lower(name) AS id FROM {_PKG} WHERE regexp_matches(name, '(?i)^(brightloom\\..*|.*\\.json)$')",
+)(lambda spark, d: supplychain.covered(_packages(spark, d), _packages(spark, d).select("project").distinct().select("project", F.explode(F.array(F.lit("Brightloom.*"), F.lit("*.json"))).alias("value"))))
+query(
+    "missing_packages",
+    f"SELECT DISTINCT project, lower(name) AS name FROM {_PKG} p WHERE name IS NOT NULL AND NOT EXISTS (SELECT 1 FROM snyk s WHERE s.repo = p.project)",
+)(lambda spark, d: _packages(spark, d).where("name IS NOT NULL").join(table(spark, d, "snyk").select(F.col("repo").alias("project")).distinct(), "project", "left_anti").select("project", F.lower("name").alias("name")).distinct())
+query(
+    "csv_location_rows",
+    """
+SELECT row_id AS seq, 0 AS place, coalesce(findingId, '') AS id, coalesce(severity, '') AS severity, coalesce(confidence, '') AS confidence, coalesce(category, '') AS category, array_to_string(coalesce(cwe, []), ' ') AS cwe, coalesce(title, '') AS title,
+  coalesce(location.file, '') AS file, CASE WHEN coalesce(location.startLine, 0) <> 0 THEN CAST(location.startLine AS VARCHAR) ELSE '' END AS line, array_to_string(list_distinct_ordered, '+') AS tools, CASE WHEN len(rep) > 1 THEN array_to_string(rep, '+') ELSE '' END AS confirmed_by,
+  coalesce(problem, '') AS problem, coalesce(recommendation, '') AS recommendation, replace(coalesce(evidence.snippet, ''), chr(13), '') AS snippet
+FROM (SELECT *, list_filter(t, lambda x, i: list_position(t, x) = i) AS list_distinct_ordered FROM (SELECT *, list_transform(coalesce(sources, []), lambda s: s.tool) AS t, list_transform(list_filter(coalesce(sources, []), lambda s: s.status = 'REPORTED'), lambda s: s.tool) AS rep FROM report))
+""",
+)(lambda spark, d: sinks.csv_rows(findings(spark, d)))
+query(
+    "sarif_projection",
+    "SELECT row_id AS seq, findingId AS ruleId, CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN 'error' WHEN severity = 'MEDIUM' THEN 'warning' ELSE 'note' END AS level, CASE WHEN coalesce(location.startLine, 0) = 0 THEN 1 ELSE location.startLine END AS line, replace(coalesce(location.file, ''), '\\', '/') AS uri FROM report",
+)(
+    lambda spark, d: sinks.sarif_rows(findings(spark, d)).select(
+        "seq", "result.ruleId", "result.level", F.get("result.locations", F.lit(0))["physicalLocation"]["region"]["startLine"].alias("line"), F.get("result.locations", F.lit(0))["physicalLocation"]["artifactLocation"]["uri"].alias("uri")
+    )
+)
+query(
+    "secret_places",
+    "SELECT place, count(*) AS n FROM (SELECT CASE WHEN len(p) >= 2 THEN p[-2] || '/' || p[-1] ELSE p[1] END AS place FROM (SELECT string_split(replace(coalesce(location.file, ''), '\\', '/'), '/') AS p FROM report)) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12",
+)(lambda spark, d: sinks.secret_rollup(findings(spark, d))[1])
+query(
+    "coverage_rollup",
+    """
+WITH c AS (SELECT coalesce(subcategory, '') AS caseId, CASE s.status WHEN 'REPORTED' THEN 0 WHEN 'MISSED' THEN 1 ELSE 2 END AS r FROM (SELECT subcategory, unnest(sources) AS s FROM report)), b AS (SELECT caseId, min(r) AS r FROM c GROUP BY 1)
+SELECT CASE r WHEN 0 THEN 'checked' WHEN 1 THEN 'manual-review' ELSE 'not-applicable' END AS outcome, count(*) AS n FROM b GROUP BY 1
+""",
+)(
+    lambda spark, d: R.coverage_rollup(
+        table(spark, d, "report").select(F.coalesce("subcategory", F.lit("")).alias("caseId"), F.explode("sources").alias("s")).select("caseId", F.col("s.tool").alias("tool"), F.when(F.col("s.status") == "REPORTED", "checked").when(F.col("s.status") == "MISSED", "manual-review").otherwise("not-applicable").alias("outcome"))
+    )
+)
+PROBES = ["certificate", "password", "the build server", "anti-forgery", "Schritt"]
+query("probe_coverage", "SELECT p AS probe, (SELECT count(*) FROM documents WHERE contains(lower(text), lower(p))) AS hits FROM (SELECT unnest(" + str(PROBES) + ") AS p)")(lambda spark, d: R.probe_coverage(table(spark, d, "documents"), spark.createDataFrame([(p,) for p in PROBES], "probe string")))
+query(
+    "cross_check",
+    f"""
+WITH f AS (SELECT row_id, batch_id, severity, coalesce(cwe, []) AS cwe, coalesce(location.startLine, 0) AS l, lower(regexp_replace(replace(coalesce(location.file, ''), '\\', '/'), '^\\./', '')) AS p FROM report),
+m AS (SELECT a.row_id AS seq, a.severity AS asev, b.row_id AS bid, b.severity AS bsev, {RANKS.format(c='b.severity')} AS r FROM f a JOIN f b ON a.p = b.p AND a.batch_id >= 1 AND b.batch_id = 0 AND ((a.l > 0 AND b.l > 0 AND abs(a.l - b.l) <= 4) OR list_has_any(a.cwe, b.cwe))),
+t AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY seq ORDER BY r, bid) = 1)
+SELECT f.row_id AS seq, CASE WHEN t.seq IS NULL THEN 'alone' WHEN t.bsev IS NOT DISTINCT FROM f.severity THEN 'agrees' ELSE 'CONTRADICTED' END AS outcome, t.bid AS counterpart, t.bsev AS their_severity FROM f LEFT JOIN t ON t.seq = f.row_id WHERE f.batch_id >= 1
+""",
+)(
+    lambda spark, d: crosscheck.cross_check(
+        conform(table(spark, d, "report").where("batch_id >= 1").withColumnRenamed("row_id", "seq")), conform(table(spark, d, "report").where("batch_id = 0").withColumnRenamed("row_id", "seq"))
+    )
+)
+query("scrub_text", None)(lambda spark, d: table(spark, d, "documents").select("doc_id", redact.scrub(F.col("text")).alias("text")))
+query(
+    "redacted_connections",
+    r"SELECT doc_id, regexp_replace(regexp_replace(l, '(?i)\b(password|pwd|passphrase|secret)(\s*=\s*)([''""]?)[^;''""<>\s]+', '\1\2\3****', 'g'), '(://[^/\s:@]+:)[^@\s/]+@', '\1****@', 'g') AS line FROM (SELECT doc_id, line AS l FROM " + _LINES + ") WHERE regexp_matches(l, '(?i)(password|pwd)\\s*=|://[^/\\s:@]+:[^@\\s/]+@')",
+)(lambda spark, d: _lines(spark, d).where(F.col("line").rlike(r"(?i)(password|pwd)\s*=|://[^/\s:@]+:[^@\s/]+@")).select("doc_id", redact.without_passwords(F.col("line")).alias("line")))
+
+
+@query("native_scan")
+def native_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules over the source and configuration files of the corpus, project by project."""
+    h = native_rules.native_hits(source_files(spark, sf_dir), NOW)
+    return h.select("project", "path", "hit.rule", "hit.line", "hit.severity")
+
+
+query(
+    "native_regex_timeout",
+    r"""
+WITH l AS (SELECT repo AS project, path, regexp_split_to_array(text, '\r?\n') AS l FROM documents WHERE text IS NOT NULL AND regexp_matches(path, '(?i)\.(cs|vb)$')), x AS (SELECT *, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM l)
+SELECT coalesce(project, '') AS project, replace(path, '\', '/') AS path, CAST(n AS INTEGER) AS line FROM x WHERE regexp_matches(line, 'new\s+Regex\s*\(|Regex\s*\.\s*(?:Match|Matches|IsMatch|Replace)\s*\(') AND NOT regexp_matches(line, '^\s*//') AND NOT regexp_matches(array_to_string(l[n:n + 2], ' '), 'TimeSpan|matchTimeout|RegexOptions\.(?:NonBacktracking)')
+""",
+)(
+    lambda spark, d: native_rules.scan(native_rules.prepare(source_files(spark, d)).where(F.col("path").rlike(r"(?i)\.(cs|vb)\z")), [r for r in native_rules.CSHARP if r.id == "cs-regex-timeout"], "source").select("project", "path", "hit.line")
+)
+
+
+@query("supply_chain")
+def supply_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = source_files(spark, sf_dir)
+    return supplychain.supplychain_hits(nuget_items(f)).select("project", "rule", "severity", "path", "line")
+
+
+@query("discovery")
+def discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discovery.discover(source_files(spark, sf_dir)).select("project", "stack", "projects", "config_files", "has_lock_file")
+
+
+query(
+    "lag_between_batches",
+    "SELECT repo, row_id, date_diff('second', lag(received_at) OVER (PARTITION BY repo ORDER BY received_at, row_id), received_at) AS gap FROM report",
+)(lambda spark, d: table(spark, d, "report").select("repo", "row_id", (F.unix_seconds(F.date_trunc("second", F.col("received_at").cast("timestamp"))) - F.unix_seconds(F.date_trunc("second", F.lag("received_at").over(Window.partitionBy("repo").orderBy("received_at", "row_id")).cast("timestamp")))).alias("gap")))
