@@ -93,4 +93,4 @@ def version_key(c: Column) -> Column:
 
 
 def first_sentence(c: Column) -> Column:
-    return F.regexp_extract(F.coalesce(c, F.lit("")), r"(?s)^(.*?[.!?])(?:\s|\z)|^(.*)\z", 0)
+    return F.regexp_extract(F.coalesce(c, F.lit("")), r"(?s)^.*?[.!?](?=\s|\z)|^.*\z", 0)

@@ -296,7 +296,6 @@ def sonarqube_findings(raw: DataFrame, order: list[str], text: str = "raw") -> D
     )
 
 
-AI_ITEM = "array<struct<title:string, file:string, startLine:string, category:string, severity:string, cwe:array<string>, snippet:string, problem:string, impact:string, recommendation:string>>"
 AI_CATEGORIES = ("security", "configuration", "reliability", "code-quality", "architecture")
 
 
@@ -305,8 +304,10 @@ def ai_findings(raw: DataFrame, order: list[str], text: str = "raw") -> DataFram
     d = F.from_json(text, "struct<content:array<struct<text:string>>, choices:array<struct<message:struct<content:string>>>>")
     said = F.when(F.col(text).rlike(r"^\s*\["), F.col(text)).otherwise(F.coalesce(F.array_join(F.transform(d["content"], lambda c: F.coalesce(c["text"], F.lit(""))), "\n"), F.array_join(F.transform(d["choices"], lambda c: F.coalesce(c["message"]["content"], F.lit(""))), "\n")))
     body = F.regexp_extract(said, r"(?s)\[.*\]", 0)
-    items = F.when(F.try_parse_json(text).isNotNull() & F.try_parse_json(body).isNotNull(), F.from_json(body, AI_ITEM))
-    t = raw.select(*order, F.posexplode(items).alias("__no", "x")).where("x.title <> '' AND x.file <> ''")
+    items = F.when(F.try_parse_json(text).isNotNull(), F.try_variant_get(F.try_parse_json(body), "$", "array<variant>"))
+    t = raw.select(*order, F.posexplode(items).alias("__no", "v"))
+    text_of = [F.try_variant_get("v", f"$.{k}", "string").alias(k) for k in "title file startLine category severity snippet problem impact recommendation".split()]
+    t = t.select(*order, "__no", F.struct(*text_of, F.try_variant_get("v", "$.cwe", "array<string>").alias("cwe")).alias("x")).where("x.title <> '' AND x.file <> ''")
     lines = F.array_join(F.slice(F.split(scrub(F.coalesce("x.snippet", F.lit(""))), "\n"), 1, 12), "\n")
     return t.select(
         *order, "__no", F.left("x.title", F.lit(200)).alias("title"), F.when(F.col("x.category").isin(*AI_CATEGORIES), F.col("x.category")).otherwise("security").alias("category"), F.lit("ai-review").alias("subcategory"),
