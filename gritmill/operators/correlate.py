@@ -289,7 +289,8 @@ def consolidate(findings: DataFrame, max_locations: int = 500) -> DataFrame:
     places = capped.groupBy("__family").agg(F.transform(F.sort_array(F.collect_list(place)), lambda p: p["at"]).alias("__places"))
     entries = base.select("__family", "seq", F.posexplode("sources").alias("__i", "__s")).groupBy("__family", F.col("__s.tool").alias("__t"), F.coalesce("__s.sourceFindingId", F.lit("")).alias("__r"))
     entries = entries.agg(F.min(F.struct("seq", "__i", "__s")).alias("__e")).groupBy("__family").agg(F.transform(F.sort_array(F.collect_list("__e")), lambda e: e["__s"]).alias("__sources"))
-    kept = keyed.join(first, "__family").where("seq = __first").join(places, "__family", "left").join(entries, "__family", "left")
+    # families and first rows are matched by the row as well, so a family with most rows is spread like any other
+    kept = keyed.join(first.withColumn("seq", F.col("__first")), ["__family", "seq"]).join(places, "__family", "left").join(entries, "__family", "left")
     pick = lambda name, order: F.when((F.col("__n") > 1) & (F.col(f"__{name}") < UNKNOWN_RANK), F.element_at(F.array(*[F.lit(v) for v in order]), F.least(F.col(f"__{name}") + 1, F.lit(len(order)))))
     old = F.coalesce(F.col("location.additionalLocations"), F.array().cast("array<struct<file string, startLine int, note string>>"))
     room = F.greatest(F.lit(0), F.lit(max_locations) - F.size(old))

@@ -20,7 +20,7 @@ CSHARP = [
     L("cs-cert-validation", "Certificate checks off for a handler", ("F-002",), "CRITICAL", "LIKELY", (295,), r"(ServerCertificateValidationCallback|ServerCertificateCustomValidationCallback|DangerousAcceptAnyServerCertificateValidator)", (None, 3), (r"=>\s*true|return\s+true\s*;|DangerousAcceptAnyServerCertificateValidator",), line_none_of=(r"(?i)ServicePointManager",), shown=(1, 2)),
     L("cs-response-write", "Response written from request values", ("D-001",), "CRITICAL", "POSSIBLE", (79,), r"Response\s*\.\s*Write\s*\(", (None, 2), (r"Request(\[|\.QueryString|\.Form|\.Params)|\+\s*\w+|\$\w|\{\w+\}",), shown=(1, 2)),
     L("cs-command-injection", "Process started from built text", ("C-007",), "CRITICAL", "POSSIBLE", (78,), r"Process\s*\.\s*(?:Start|StartInfo)\b", (None, 3), (r'"\s*\+\s*\w|\w\s*\+\s*"|\$"|string\.Format\s*\(|\bRequest\b',), shown=(1, 3)),
-    L("cs-hardcoded-secret", "Credential in source", ("E-001", "M-001"), "CRITICAL", "CONFIRMED", (798,), r'(?i)\w*(?:password|passwd|pwd|secret|apikey|api_key|apitoken|access_token|client_secret)\w*\s*=\s*"[^"\n]{6,}"', line_none_of=(r"^\s*//",), on="raw", shown=(0, 0), redact=(r'(?i)(\w*(?:password|passwd|pwd|secret|apikey|api_key|apitoken|access_token|client_secret)\w*\s*=\s*)"[^"\n]{6,}"', r"$1***REDACTED***")),
+    L("cs-hardcoded-secret", "Credential in source", ("E-001", "M-001"), "CRITICAL", "CONFIRMED", (798,), r'(?i)(?:password|passwd|pwd|secret|apikey|api_key|apitoken|access_token|client_secret)\w*\s*=\s*"[^"\n]{6,}"', line_none_of=(r"^\s*//",), on="raw", shown=(0, 0), redact=(r'(?i)((?:password|passwd|pwd|secret|apikey|api_key|apitoken|access_token|client_secret)\w*\s*=\s*)"[^"\n]{6,}"', r"$1***REDACTED***")),
     L("cs-weak-crypto", "Broken hash or cipher", ("E-008", "E-006", "E-004", "E-009"), "HIGH", "LIKELY", (327,), r"new\s+(MD5|SHA1|DESCryptoServiceProvider|TripleDESCryptoServiceProvider|RC2CryptoServiceProvider)\b"),
     L("cs-weak-crypto", "ECB mode", ("E-008", "E-006", "E-004", "E-009"), "HIGH", "LIKELY", (327,), r"CipherMode\s*\.\s*ECB"),
     L("cs-weak-crypto", "Predictable random source", ("E-008", "E-006", "E-004", "E-009"), "HIGH", "POSSIBLE", (338,), r"new\s+Random\s*\(", (None, 3), (r"(?i)token|nonce|otp|password|secret|salt|key|code|ref(eren(ce|al))?|id",)),
@@ -73,22 +73,34 @@ def _verb_line(verbs: str) -> Column:
     return F.array_position(F.transform("code", lambda c: c.rlike(rf"(?i)\[Http(?:{verbs})\]")), True)
 
 
+#: Stands for a severity that the project's facts decide.
+OPEN = "?"
+
+
 def _antiforgery(rule) -> Column:
+    """Reachable at any rate unless the controller is an ApiController; then the project's sign-in decides."""
     n = _verb_line("Post|Put|Delete|Patch")
-    reachable = F.col("facts.cookie_auth") | ~F.col("facts.token_auth") | ~F.col("text").rlike(r":\s*ApiController\b")
+    api = F.col("text").rlike(r":\s*ApiController\b")
     ok = F.col("path").rlike(r"(?i)Controller\.cs\z") & (n > 0) & ~F.col("text").rlike(r"(?i)ValidateAntiForgeryToken|AutoValidateAntiforgeryToken|Antiforgery")
-    return F.when(ok, F.array(hit(rule, n, F.get("code", n.cast("int") - 1), severity=F.when(reachable, "HIGH").otherwise("LOW"), confidence=F.when(reachable, "LIKELY").otherwise("POSSIBLE"))))
+    return F.when(ok, F.array(hit(rule, n, F.get("code", n.cast("int") - 1), severity=F.when(api, OPEN).otherwise("HIGH"))))
 
 
 def _no_authorization(rule) -> Column:
+    """To be dropped where the project has a filter for all controllers."""
     n, mutating = _verb_line("Post|Put|Delete|Patch|Get"), _verb_line("Post|Put|Delete|Patch") > 0
-    ok = (
-        F.col("path").rlike(r"(?i)Controller\.cs\z") & _code().rlike(r":\s*(?:Api)?Controller\b") & (n > 0)
-        & ~_code().rlike(r"(?i)\[Authorize|\[CustomAuthorize|\[ApiKey|\[BasicAuth|PrincipalPermission") & ~F.col("facts.global_filter")
-    )
+    ok = F.col("path").rlike(r"(?i)Controller\.cs\z") & _code().rlike(r":\s*(?:Api)?Controller\b") & (n > 0) & ~_code().rlike(r"(?i)\[Authorize|\[CustomAuthorize|\[ApiKey|\[BasicAuth|PrincipalPermission")
     return F.when(ok, F.array(hit(rule, n, T.snippet(F.col("code"), n, 2, 2), severity=F.when(mutating, "CRITICAL").otherwise("HIGH"))))
 
 
+def settled(hits: DataFrame, facts: DataFrame) -> DataFrame:
+    """Hits of the rules that depend on their project, decided by its facts. Hits are joined, never texts."""
+    asks = F.col("hit.rule").isin("cs-antiforgery", "cs-controller-no-authorization")
+    j = hits.where(asks).join(facts, "project").where(~((F.col("hit.rule") == "cs-controller-no-authorization") & F.col("facts.global_filter")))
+    low = (F.col("hit.severity") == OPEN) & ~(F.col("facts.cookie_auth") | ~F.col("facts.token_auth"))
+    decided = F.col("hit").withField("confidence", F.when(low, "POSSIBLE").otherwise(F.col("hit.confidence"))).withField("severity", F.when(low, "LOW").when(F.col("hit.severity") == OPEN, "HIGH").otherwise(F.col("hit.severity")))
+    return hits.where(~asks).unionByName(j.withColumn("hit", decided).select(*hits.columns))
+
+
 _HANDLER = r"class\s+\w*(Handler|Filter|Middleware|ExceptionHandler)"
 
 
@@ -300,12 +312,14 @@ def project_facts(files: DataFrame) -> DataFrame:
 
 
 def prepare(files: DataFrame) -> DataFrame:
-    """Files ``(project, path, text)`` with lines, stripped lines and project facts; null texts and paths are dropped."""
-    base = files.where("text IS NOT NULL AND path IS NOT NULL").select(F.coalesce("project", F.lit("")).alias("project"), F.translate("path", "\\", "/").alias("path"), "text")
-    facts = project_facts(base)
+    """Files ``(project, path, text)`` with lines and stripped lines; null texts and paths are dropped. No shuffle."""
+    base = named(files)
     read = base.withColumn("lines", T.lines_of(F.col("text"))).withColumn("s", T.stripped("lines"))
-    read = read.select("project", "path", F.array_join("lines", "\n").alias("text"), "lines", F.col("s.code").alias("code"), F.col("s.plain").alias("plain"))
-    return read.join(facts, "project")
+    return read.select("project", "path", F.array_join("lines", "\n").alias("text"), "lines", F.col("s.code").alias("code"), F.col("s.plain").alias("plain"))
+
+
+def named(files: DataFrame) -> DataFrame:
+    return files.where("text IS NOT NULL AND path IS NOT NULL").select(F.coalesce("project", F.lit("")).alias("project"), F.translate("path", "\\", "/").alias("path"), "text")
 
 
 def missing_lockfile(files: DataFrame) -> DataFrame:
@@ -317,10 +331,10 @@ def missing_lockfile(files: DataFrame) -> DataFrame:
 
 def native_hits(files: DataFrame, now: str) -> DataFrame:
     """Hits of all rules: ``(project, path, kind, no, hit)``."""
-    f = prepare(files)
-    of = lambda p: f.where(F.col("path").rlike(p))
+    # paths are filtered before lines are made and stripped
+    of = lambda p: prepare(files.where(F.translate("path", "\\", "/").rlike(p)))
     parts = [
-        scan(of(r"(?i)\.config\z"), CONFIG, "config"), scan(of(r"(?i)(?:^|/)appsettings(\.\w+)?\.json\z"), SETTINGS, "settings"), scan(of(r"(?i)\.(cs|vb)\z"), CSHARP + CSHARP_FILES, "source"),
+        scan(of(r"(?i)\.config\z"), CONFIG, "config"), scan(of(r"(?i)(?:^|/)appsettings(\.\w+)?\.json\z"), SETTINGS, "settings"), settled(scan(of(r"(?i)\.(cs|vb)\z"), CSHARP + CSHARP_FILES, "source"), project_facts(named(files))),
         scan(of(r"(?i)\.(csproj|vbproj|fsproj)\z"), manifest_rules(now), "manifest"), scan(of(STARTUP_FILES), STARTUP, "startup"),
     ]
     lock = FileRule("native-no-lockfile", "No lock file beside the package manifests", ("O-003",), "MEDIUM", "CONFIRMED", (1357,), None, category="dependency")
