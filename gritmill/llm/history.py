@@ -243,10 +243,18 @@ class History:
         known = "row_id bigint, first_row_id bigint, fp1 bigint, fp2 bigint, words array<int>"
         old = self._read(self.texts, known)
         again = old.groupBy("fp1", "fp2").agg(F.min("row_id").alias("keep"), F.count("*").alias("n")).where("n > 1")
-        gone = old.select("fp1", "fp2", "row_id").join(again, ["fp1", "fp2"]).where("row_id > keep").select("row_id")
+        gone = materialise(old.select("fp1", "fp2", "row_id").join(again, ["fp1", "fp2"]).where("row_id > keep").select("row_id"), "history-gone")
+        f = bloom.merged(gone, ["row_id"], gone.count(), repeated=False)
+
+        def kept(df: DataFrame) -> DataFrame:
+            """Rows without those to go; only what the filter holds for possible is joined, all else stays where it is."""
+            cols = df.columns
+            flagged = bloom.flagged(df, ["row_id"], f, "maybe")
+            return flagged.where("NOT maybe").select(*cols).unionByName(flagged.where("maybe").join(gone, "row_id", "left_anti").select(*cols))
+
         base = f"{self.root}/keys/base{self.runs}", f"{self.root}/texts/base{self.runs}"
-        self._read(self.keys, _KEY).join(gone, "row_id", "left_anti").select("key", "tail", "sig", "row_id").repartitionByRange("key", "tail").sortWithinPartitions("key", "tail").write.parquet(base[0])
-        old.join(gone, "row_id", "left_anti").select("row_id", "first_row_id", "fp1", "fp2", "words").write.parquet(base[1])
+        kept(self._read(self.keys, _KEY)).repartitionByRange("key", "tail").sortWithinPartitions("key", "tail").write.parquet(base[0])
+        kept(old).write.parquet(base[1])
         fs = self.spark._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
         for p in self.keys + self.texts:
             fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(p), True)
