@@ -164,7 +164,7 @@ SELECT f.row_id AS seq, CASE WHEN t.seq IS NULL THEN 'alone' WHEN t.bsev IS NOT
 query("scrub_text", None)(lambda spark, d: table(spark, d, "documents").select("doc_id", redact.scrub(F.col("text")).alias("text")))
 query(
     "redacted_connections",
-    r"SELECT doc_id, regexp_replace(regexp_replace(l, '(?i)\b(password|pwd|passphrase|secret)(\s*=\s*)([''""]?)[^;''""<>\s]+', '\1\2\3****', 'g'), '(://[^/\s:@]+:)[^@\s/]+@', '\1****@', 'g') AS line FROM (SELECT doc_id, line AS l FROM " + _LINES + ") WHERE regexp_matches(l, '(?i)(password|pwd)\\s*=|://[^/\\s:@]+:[^@\\s/]+@')",
+    r"""SELECT doc_id, regexp_replace(regexp_replace(l, '(?i)\b(password|pwd|passphrase|secret)(\s*=\s*)([''"]?)[^;''"<>\s]+', '\1\2\3****', 'g'), '(://[^/\s:@]+:)[^@\s/]+@', '\1****@', 'g') AS line FROM (SELECT doc_id, line AS l FROM """ + _LINES + r""") WHERE regexp_matches(l, '(?i)(password|pwd)\s*=|://[^/\s:@]+:[^@\s/]+@')""",
 )(lambda spark, d: _lines(spark, d).where(F.col("line").rlike(r"(?i)(password|pwd)\s*=|://[^/\s:@]+:[^@\s/]+@")).select("doc_id", redact.without_passwords(F.col("line")).alias("line")))
 
 
