@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gritmill.functions import normalise as N
 from gritmill.functions import redact
 from gritmill.functions import text as T
-from gritmill.operators import crosscheck, discovery, native_rules, supplychain
+from gritmill.operators import catalog, crosscheck, discovery, native_rules, rule_pack, supplychain
 from gritmill.operators import rollups as R
 from gritmill.plans.findings import RANKS, findings
 from gritmill.plans.registry import query
@@ -201,3 +201,18 @@ query(
     "lag_between_batches",
     "SELECT repo, row_id, date_diff('second', lag(received_at) OVER (PARTITION BY repo ORDER BY received_at, row_id), received_at) AS gap FROM report",
 )(lambda spark, d: table(spark, d, "report").select("repo", "row_id", (F.unix_seconds(F.date_trunc("second", F.col("received_at").cast("timestamp"))) - F.unix_seconds(F.date_trunc("second", F.lag("received_at").over(Window.partitionBy("repo").orderBy("received_at", "row_id")).cast("timestamp")))).alias("gap")))
+
+
+def _pack_sql() -> str:
+    parts = []
+    for rule, pattern, _, passes in rule_pack.RULES:
+        p = pattern.replace("'", "''")
+        cond = "".join(f" AND NOT regexp_matches(m, '{x}')" for x in passes)
+        parts.append(f"SELECT project, path, '{rule}' AS rule FROM (SELECT project, path, unnest(regexp_extract_all(text, '{p}')) AS m FROM f) WHERE true{cond}")
+    skip = " AND ".join(f"NOT regexp_matches(path, '{p}')" for p in rule_pack.LET_PASS_PATHS)
+    return f"WITH s AS (SELECT repo AS project, replace(location.file, '\\', '/') AS path, evidence.snippet AS text FROM report), f AS (SELECT * FROM s WHERE text IS NOT NULL AND path IS NOT NULL AND {skip}) " + " UNION ALL ".join(parts)
+
+
+query("secret_rule_pack", _pack_sql())(lambda spark, d: rule_pack.scan_pack(table(spark, d, "report").select(F.col("repo").alias("project"), F.col("location.file").alias("path"), F.col("evidence.snippet").alias("text"))).drop("shown"))
+query("missing_suppressions", "SELECT row_id AS seq, findingId, status FROM report WHERE status IN ('FALSE_POSITIVE', 'ACCEPTED_RISK')")(lambda spark, d: catalog.missing_suppressions(findings(spark, d)))
+query("net_surface", "SELECT coalesce(repo, '') AS project, bool_or(regexp_matches(replace(path, '\\', '/'), '(?i)\\.(cs|csproj|vbproj|fsproj)$|^((web|app)\\.(\\w+\\.)?config|appsettings(\\.\\w+)?\\.json|global\\.asax|packages\\.config|[^/]*\\.sln)$')) AS net FROM documents WHERE path IS NOT NULL GROUP BY 1")(lambda spark, d: catalog.net_surface(source_files(spark, d)))

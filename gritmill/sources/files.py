@@ -33,6 +33,9 @@ NATIVE = Policy((".cs", ".vb", ".config", ".json", ".csproj", ".vbproj", ".fspro
 DISCOVERY = Policy(names=r"(?i)\.(sln|csproj|vbproj|fsproj|config|json|asax|props)$", skip=r"(?i)^(bin|obj|packages|node_modules|\.git|\.vs)$", max_depth=12)
 SUPPLY_CHAIN = Policy(names=r"(?i)^(nuget\.config|packages\.config|directory\.packages\.props|directory\.build\.(props|targets)|packages\.lock\.json|(install|init)\.ps1|.*\.(csproj|vbproj|fsproj|nuspec|props|targets))$", skip=r"(?i)^(bin|obj|node_modules|\.git|\.vs|\.svn|\.idea|\.sonarqube|TestResults|dist|out)$", max_depth=15, max_bytes=2 << 20)
 ASSEMBLIES = Policy((".dll", ".exe"), skip=r"(?i)^(node_modules|\.git|\.vs)$", max_depth=10, max_files=5_000)
+CONFIGS = Policy(names=r"(?i)^(web|app)(\.\w+)?\.config$|\.(dll|exe)\.config$", skip=r"(?i)^(node_modules|\.git|\.vs)$", max_depth=6, max_files=50)
+DEPS = Policy(names=r"(?i)\.deps\.json$", skip=r"(?i)^(node_modules|\.git|\.vs)$", max_depth=6, max_files=20)
+PACKAGES = Policy(names=r"(?i)^packages\.config$", skip=r"(?i)^(bin|obj|packages|node_modules|\.git|\.vs|tests?|Migrations)$", max_depth=6)
 REVIEWED = Policy((".cs", ".config", ".json"), skip=r"(?i)^(bin|obj|packages|node_modules|\.git|\.vs|\.sonarqube)$", max_bytes=60_000)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,3 +65,23 @@ def merged_settings(*layers: dict) -> dict:
             elif v is not None:
                 out[k] = merged_settings(v) if isinstance(v, dict) else v
     return out
+
+
+_SENSITIVE = re.compile(r"(?i)^(?:key|apikey|api[_-]?key|token|secret|password|authorization|creds?|credentials)$")
+
+
+def redacted_settings(value: object, name: str = "") -> object:
+    """Settings for display: values under a credential's name, and everything below ``keys``, show their last four characters at most."""
+    if isinstance(value, dict):
+        return {k: redacted_settings(v, "secret" if name == "keys" or _SENSITIVE.match(k) else k) for k, v in value.items()}
+    if isinstance(value, list):
+        return [redacted_settings(v, name) for v in value]
+    if isinstance(value, str) and name == "secret":
+        return "****" + value[-4:] if value else "(not set)"
+    return value
+
+
+def write_inventory(tables: dict[str, DataFrame], folder: str) -> None:
+    """SINK-12: inventories as Parquet, one folder a table; texts and file contents are left out."""
+    for name, df in tables.items():
+        df.drop("text", "content").write.mode("overwrite").parquet(f"{folder}/{name}")
