@@ -22,11 +22,11 @@ def least_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
     if links.isEmpty():
         return cur
     while True:
-        near = links.join(cur, links.b == cur.id).select(F.col("a").alias("id"), "label")
-        step = cur.unionByName(near).groupBy("id").agg(F.min("label").alias("label"))
+        near = links.join(cur, links.b == cur.id).select(F.col("a").alias("id"), "label", F.lit(None).cast("bigint").alias("was"))
+        step = cur.select("id", "label", F.col("label").alias("was")).unionByName(near).groupBy("id").agg(F.min("label").alias("label"), F.max("was").alias("was"))
         up = cur.select(F.col("id").alias("label"), F.col("label").alias("top"))
-        jumped = step.join(up, "label", "left").select("id", F.least("label", "top").alias("label"))
-        nxt = materialise(jumped, "labels")
-        if nxt.join(cur.withColumnRenamed("label", "was"), "id").where("label < was").isEmpty():
-            return nxt
-        cur = nxt
+        least = F.least("label", "top")
+        nxt = materialise(step.join(up, "label", "left").select("id", least.alias("label"), (least < F.col("was")).alias("moved")), "labels")
+        cur = nxt.select("id", "label")
+        if nxt.where("moved").isEmpty():
+            return cur
