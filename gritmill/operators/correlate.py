@@ -135,49 +135,50 @@ def merge_into(a: dict, b: dict) -> None:
         a["status"] = "FALSE_POSITIVE"
 
 
-def greedy(rows: Iterator[dict]) -> list[dict]:
-    """COR-03: each finding joins the finding that first claimed one of its keys, tried in order; new keys go to the finding it joined."""
-    owner: dict[str, dict] = {}
-    out: list[dict] = []
-    for row in rows:
-        target = next((owner[k] for k in row["keys"] if k in owner), None)
+class Greedy:
+    """COR-03: each finding joins the finding that first claimed one of its keys, tried in order; new keys go to the finding it joined.
+
+    Findings are taken one at a time, so only the merged ones are held.
+    """
+
+    def __init__(self) -> None:
+        self.owner: dict[str, dict] = {}
+        self.out: list[dict] = []
+
+    def add(self, row: dict) -> None:
+        keys = row.pop("keys")
+        target = next((self.owner[k] for k in keys if k in self.owner), None)
         if target is None:
             row["merged"] = 0
-            out.append(row)
+            self.out.append(row)
             target = row
         else:
             merge_into(target, row)
             target["merged"] += 1
-        for k in row["keys"]:
-            owner.setdefault(k, target)
-    return out
-
-
-def _merge_blocks(schema: pa.Schema | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, rows = None, []
-
-        def flush() -> pa.RecordBatch:
-            done = [{n: r[n] for n in names} for r in greedy(iter(rows))]
-            return pa.RecordBatch.from_pylist(done, schema=out_schema)
-
-        names: list[str] = []
-        out_schema = None
-        for b in batches:
-            if out_schema is None:
-                fields = [f for f in b.schema if f.name not in ("block", "keys")]
-                out_schema = pa.schema([*fields, pa.field("merged", pa.int32())])
-                names = out_schema.names
-            for r in b.to_pylist():
-                if r["block"] != block and rows:
-                    yield flush()
-                    rows = []
-                block = r["block"]
-                rows.append(r)
-        if rows:
-            yield flush()
-
-    return run
+        for k in keys:
+            self.owner.setdefault(k, target)
+
+
+def _merge_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Folds rows that come sorted by block and input order."""
+    block, held, schema = None, Greedy(), None
+    done: list[dict] = []
+    for b in batches:
+        if schema is None:
+            schema = pa.schema([*(f for f in b.schema if f.name not in ("block", "keys")), pa.field("merged", pa.int32())])
+        for part in range(0, b.num_rows, 500):
+            for row in b.slice(part, 500).to_pylist():
+                at = row.pop("block")
+                if at != block:
+                    done += held.out
+                    held = Greedy()
+                    if len(done) >= 2000:
+                        yield pa.RecordBatch.from_pylist(done, schema=schema)
+                        done = []
+                block = at
+                held.add(row)
+    if done or held.out:
+        yield pa.RecordBatch.from_pylist(done + held.out, schema=schema)
 
 
 def blocks(keyed: DataFrame) -> DataFrame:
@@ -195,7 +196,7 @@ def merged_findings(findings: DataFrame) -> DataFrame:
     placed = keyed.join(labels, keyed.seq == labels["__id"]).drop("__id").withColumnRenamed("label", "block")
     placed = placed.repartition("block").sortWithinPartitions("block", "seq")
     ddl = ", ".join(f"`{n}` {t}" for n, t in placed.dtypes if n not in ("block", "keys")) + ", merged int"
-    return placed.mapInArrow(_merge_blocks(None), ddl)
+    return placed.mapInArrow(_merge_blocks, ddl)
 
 
 def attribute_missed(findings: DataFrame, tools: list[str]) -> DataFrame:
