@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gritmill.session import materialise
+from gritmill.session import discard, materialise_at
 
 
 def least_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -16,17 +16,21 @@ def least_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
     itself a node's id in most cases, so taking the label's label as well halves long chains. Each round is written to the
     shared folder. Ends when nothing changes.
     """
-    links = materialise(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
+    spark = labels.sparkSession
+    links, links_at = materialise_at(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
     nodes = labels.unionByName(links.select(F.col("a").alias("id"), F.col("a").alias("label")))
-    cur = materialise(nodes.groupBy("id").agg(F.min("label").alias("label")), "labels")
+    cur, cur_at = materialise_at(nodes.groupBy("id").agg(F.min("label").alias("label")), "labels")
     if links.isEmpty():
+        discard(spark, links_at)
         return cur
     while True:
         near = links.join(cur, links.b == cur.id).select(F.col("a").alias("id"), "label", F.lit(None).cast("bigint").alias("was"))
         step = cur.select("id", "label", F.col("label").alias("was")).unionByName(near).groupBy("id").agg(F.min("label").alias("label"), F.max("was").alias("was"))
         up = cur.select(F.col("id").alias("label"), F.col("label").alias("top"))
         least = F.least("label", "top")
-        nxt = materialise(step.join(up, "label", "left").select("id", least.alias("label"), (least < F.col("was")).alias("moved")), "labels")
-        cur = nxt.select("id", "label")
+        nxt, nxt_at = materialise_at(step.join(up, "label", "left").select("id", least.alias("label"), (least < F.col("was")).alias("moved")), "labels")
+        discard(spark, cur_at)
+        cur, cur_at = nxt.select("id", "label"), nxt_at
         if nxt.where("moved").isEmpty():
+            discard(spark, links_at)
             return cur

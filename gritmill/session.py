@@ -53,10 +53,21 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes `df` once into the shared folder and reads it back: the lineage is cut, a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
+    return materialise_at(df, name)[0]
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Removes working tables that nothing reads any more."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialise_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As `materialise`, with the path for a later `discard`."""
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def ship_package(spark: SparkSession) -> None:
