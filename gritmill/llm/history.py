@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from gritmill.llm import bloom
 from gritmill.llm.canon import withheld
 from gritmill.operators.components import least_labels
-from gritmill.session import fresh_path, materialise
+from gritmill.session import discard, fresh_path, materialise, materialise_at
 
 ORDERS, DEPTH, SIG_BITS = 10, 3, 64
 #: Neighbours on either side, in each order.
@@ -200,7 +200,8 @@ class History:
 
         ``first_row_id`` is the first accepted row of the class, or the text's own first row. An empty batch changes nothing.
         """
-        texts = materialise(rows.groupBy("fp1", "fp2").agg(F.min("row_id").alias("row_id"), F.first("words").alias("words")), "history-texts")
+        texts, texts_at = materialise_at(rows.groupBy("fp1", "fp2").agg(F.min("row_id").alias("row_id"), F.first("words").alias("words")), "history-texts")
+        n_texts = texts.count()
         if self.common is None:
             self._set_common(texts)
         run = f"{self.root}/keys/{self.runs}"
@@ -209,11 +210,11 @@ class History:
         both = new.withColumn("fresh", F.lit(True))
         known = "row_id bigint, first_row_id bigint, fp1 bigint, fp2 bigint, words array<int>"
         if self.keys:
-            f = bloom.merged(new, ["key"], new.count(), repeated=False)
+            f = bloom.merged(new, ["key"], n_texts * (ORDERS + 1), repeated=False)
             old = bloom.within(self._read(self.keys, _KEY), "key", f)
             both = both.unionByName(old.withColumn("fresh", F.lit(False)))
         ordered = both.repartitionByRange("key", "tail", "row_id").sortWithinPartitions("key", "tail", "row_id")
-        cand = materialise(ordered.mapInArrow(_windows, "a bigint, b bigint").distinct(), "history-candidates")
+        cand, cand_at = materialise_at(ordered.mapInArrow(_windows, "a bigint, b bigint").distinct(), "history-candidates")
         mine = texts.select("row_id", "words", F.lit(None).cast("bigint").alias("first_row_id"))
         other = mine
         if self.texts:
@@ -222,13 +223,14 @@ class History:
         shared = F.size(F.array_intersect("x.words", "y.words"))
         links = cand.join(mine.alias("x"), F.col("a") == F.col("x.row_id")).join(other.alias("y"), F.col("b") == F.col("y.row_id"))
         links = links.where(shared > F.lit(SIMILAR) * (F.size("x.words") + F.size("y.words") - shared)).select("a", "b", F.col("y.first_row_id").alias("old"))
-        links = materialise(links, "history-links")
+        links, links_at = materialise_at(links, "history-links")
         start = links.groupBy("a").agg(F.min("old").alias("old"))
         inner = links.where("old IS NULL").select("a", "b")
         first = least_labels(start.select(F.col("a").alias("id"), F.least("a", "old").alias("label")), inner)
         done = texts.join(first, texts.row_id == first.id, "left").select("row_id", F.coalesce("label", "row_id").alias("first_row_id"), "fp1", "fp2", "words")
         run_texts = f"{self.root}/texts/{self.runs}"
         done.write.parquet(run_texts)
+        discard(self.spark, texts_at, cand_at, links_at)
         self.keys.append(run)
         self.texts.append(run_texts)
         self.runs += 1
@@ -255,9 +257,7 @@ class History:
         base = f"{self.root}/keys/base{self.runs}", f"{self.root}/texts/base{self.runs}"
         kept(self._read(self.keys, _KEY)).repartitionByRange("key", "tail").sortWithinPartitions("key", "tail").write.parquet(base[0])
         kept(old).write.parquet(base[1])
-        fs = self.spark._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        for p in self.keys + self.texts:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(p), True)
+        discard(self.spark, *self.keys, *self.texts)
         self.keys, self.texts = [base[0]], [base[1]]
 
 
