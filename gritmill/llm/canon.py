@@ -15,6 +15,7 @@ import re
 
 _Q = "\"'`“”‘’„«»"
 _NOT_ALNUM = re.compile(r"[\W_]+")
+_ALNUM = re.compile(r"[^\W_]")
 _KEY, _VAL = r"[\w .\-]+?\s*=", rf"[^;{_Q}\n<>]*"
 _FIELDS = re.compile(rf"([{_Q}])\s*((?:{_KEY}{_VAL};\s*)+(?:{_KEY}{_VAL};?\s*)?)(?=[{_Q}])")
 _TAG = re.compile(rf"<\s*([/!?]?)\s*([\w:.\-]+)((?:\s*[\w:.\-]+\s*=\s*([{_Q}])(?:(?!\4).)*\4)+)\s*([/?]?)\s*>", re.S)
@@ -39,9 +40,9 @@ def withheld(text: str | None) -> bool:
     """True for null, blank, or a notice that the code is not shown."""
     if text is None:
         return True
-    s = text.strip()
-    if not plain(s):
+    if not _ALNUM.search(text):
         return True
+    s = text.strip()
     return "\n" not in s and bool(_NOTICE.search(s)) and not _CODE.search(s) and len(s.split()) <= NOTICE_WORDS
 
 

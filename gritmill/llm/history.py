@@ -97,10 +97,12 @@ def _least(x: np.ndarray, starts: np.ndarray, n: int, seed: int) -> np.ndarray:
     a, b = _functions(n, seed)
     out = np.empty((n, len(starts)), np.uint64)
     for i in range(n):
-        v = x * a[i] + b[i]
+        v = x * a[i]
+        v += b[i]
         v ^= v >> np.uint64(32)
         v *= np.uint64(0x9E3779B97F4A7C15)
-        out[i] = np.minimum.reduceat(v >> np.uint64(32), starts)
+        v >>= np.uint64(32)
+        out[i] = np.minimum.reduceat(v, starts)
     return out
 
 
@@ -208,10 +210,13 @@ class History:
         texts.select("row_id", "fp1", "words").mapInArrow(_keys(self.common), _KEY).sortWithinPartitions("key", "tail").write.parquet(run)
         new = self.spark.read.schema(_KEY).parquet(run)
         both = new.withColumn("fresh", F.lit(True))
+        working = [texts_at]
         known = "row_id bigint, first_row_id bigint, fp1 bigint, fp2 bigint, words array<int>"
         if self.keys:
             f = bloom.merged(new, ["key"], n_texts * (ORDERS + 1), repeated=False)
-            old = bloom.within(self._read(self.keys, _KEY), "key", f)
+            # written, for ranges are sampled first and the history's keys would be read and filtered twice
+            old, near_at = materialise_at(bloom.within(self._read(self.keys, _KEY), "key", f), "history-near")
+            working.append(near_at)
             both = both.unionByName(old.withColumn("fresh", F.lit(False)))
         ordered = both.repartitionByRange("key", "tail", "row_id").sortWithinPartitions("key", "tail", "row_id")
         cand, cand_at = materialise_at(ordered.mapInArrow(_windows, "a bigint, b bigint").distinct(), "history-candidates")
@@ -230,7 +235,7 @@ class History:
         done = texts.join(first, texts.row_id == first.id, "left").select("row_id", F.coalesce("label", "row_id").alias("first_row_id"), "fp1", "fp2", "words")
         run_texts = f"{self.root}/texts/{self.runs}"
         done.write.parquet(run_texts)
-        discard(self.spark, texts_at, cand_at, links_at)
+        discard(self.spark, *working, cand_at, links_at)
         self.keys.append(run)
         self.texts.append(run_texts)
         self.runs += 1
