@@ -4,8 +4,8 @@
 2. A value that many owners show in many different contexts is a placeholder, whatever it looks like, and is suppressed.
    Copies of one text do not make a placeholder: they share the context.
 3. All other values are confirmed. Every text is searched again for all confirmed values, in any context, by an
-   automaton; it is built for at most CHUNK values at a time, the bound of what is broadcast, with one pass over the texts
-   for each chunk.
+   automaton; it is built for about CHUNK_BYTES of values at a time, the bound of what is broadcast, with one pass over the
+   texts for each chunk. Whole key blocks alone are not searched for: the first reading finds them wherever they stand.
 4. The places of both readings are put out, or the texts with these places masked and all other characters kept.
 
 The working tables in the shared folder hold the values found; that folder needs the same care as the texts themselves.
@@ -24,16 +24,15 @@ from pyspark.sql import functions as F
 
 from gritmill.llm import bloom
 from gritmill.llm.canon import plain
-from gritmill.llm.credentials import candidates, usable
+from gritmill.llm.credentials import _PEM, _PEM_END, candidates, usable
 from gritmill.operators.nested import nodes
 from gritmill.session import materialise
 
 #: A value is a placeholder if more than this many owners, and this share of all owners, show it in more than MAX_CONTEXTS contexts.
 MAX_OWNERS, MAX_OWNER_SHARE, MAX_CONTEXTS = 24, 0.05, 12
-CHUNK = 200_000
-#: Values of other lengths are not searched for outside credential places: short ones are words, and long ones are key
-#: blocks, which show themselves wherever they stand.
-MIN_SEARCHED, MAX_SEARCHED = 8, 200
+CHUNK_BYTES = 4_000_000
+#: A key block with both of its ends, which `candidates` recognises in any context.
+_WHOLE_BLOCK = rf"(?s)^{_PEM.pattern}.*{_PEM_END.pattern}$"
 
 _PLACES = "src string, rec_id bigint, pos string, start int, stop int, value string, owner string, context bigint"
 _ASSIGNED = re.compile(r"^\s*(?:<|[\"'`]?[A-Za-z_][\w.\-:]*[\"'`]?\s*[:=](?!//))")
@@ -132,11 +131,14 @@ def live_places(report: DataFrame, gitleaks: DataFrame, trivy: DataFrame) -> Dat
     judged = materialise(by_value.select("value", wide.alias("placeholder")), "secrets-values")
     places = index.join(judged.where("placeholder").select("value"), "value", "left_anti")
     out = places.select("src", "rec_id", "pos", "start", "stop")
-    searched = judged.where(~F.col("placeholder") & F.length("value").between(MIN_SEARCHED, MAX_SEARCHED)).select("value")
-    chunks = -(-searched.count() // CHUNK)
+    searched = judged.where(~F.col("placeholder") & ~F.col("value").rlike(_WHOLE_BLOCK)).select("value")
+    n_bytes = searched.agg(F.coalesce(F.sum(F.octet_length("value")), F.lit(0))).first()[0]
+    chunks = -(-n_bytes // CHUNK_BYTES)
     texts = report.select("row_id", F.col("evidence.snippet")).where("row_id IS NOT NULL")
     for c in range(chunks):
-        words = [r.value for r in searched.where(F.pmod(F.xxhash64("value"), F.lit(chunks)) == c).collect()]  # about CHUNK values
+        words = [r.value for r in searched.where(F.pmod(F.xxhash64("value"), F.lit(chunks)) == c).collect()]  # about CHUNK_BYTES
+        if not words:
+            continue
         shared = spark.sparkContext.broadcast(words)
         out = out.unionByName(texts.mapInArrow(_again(shared), _PLACES).select("src", "rec_id", "pos", "start", "stop"))
     return out

@@ -72,3 +72,16 @@ def test_places(spark):
 def test_empty(spark):
     tables = [t.limit(0) for t in _tables(spark, [(1, "a", "x")])]
     assert found_places(*tables).count() == 0 and masked_snippets(*tables).count() == 0
+
+
+def test_confirmed_values_of_any_length_are_searched(spark, monkeypatch):
+    long = "".join(f"q{i}Zk" for i in range(60))
+    array = ", ".join(f"0x{i:02x}" for i in range(60))
+    rows = [(1, "a", f'"ApiKey": "{long}"'), (2, "b", f"x\nf({long})"), (3, "c", f"signingKey = new byte[] {{ {array} }}"), (4, "d", f"y\n\n{array}"), (5, "e", '"Pwd": "k3y9zq"'), (6, "f", "see k3y9zq in the log"), (7, "g", "ak3y9zq")]
+    rows += [(8, "h", "log " + long[:-2] + "Yk9w"), (9, "i", "\n" + PEM)]
+    want = {("report", i, n) for i, n in ((1, "1"), (2, "2"), (3, "1"), (4, "3"), (5, "1"), (6, "1"), (8, "1"), (9, "2"))} | {("gitleaks", 1, "0/0")}
+    tables = _tables(spark, rows, [long[:-2] + "Yk9w"])
+    assert {tuple(r) for r in found_places(*tables).collect()} == want
+    # any number of chunks finds the same
+    monkeypatch.setattr("gritmill.llm.secrets.CHUNK_BYTES", 150)
+    assert {tuple(r) for r in found_places(*tables).collect()} == want
