@@ -69,9 +69,9 @@ _OPTION = re.compile(rf"(?:^|[\s{_Q}])-{{1,2}}[\w\-]*$")
 #: Without quotes, a name of the program's own: words in camel case with at most two digits, perhaps a member of it.
 _VARIABLE = re.compile(r"^[a-z]+(?:[A-Z][a-z]*)+\d{0,2}(?:\.\w+)*$|^\w+(?:\.[A-Z]\w*)+$")
 _NOT_NAME = re.compile(r"(?i)public_?key_?|cancellation|anti_?forgery|csrf|xsrf|request_?verification|token_?type|page_?|sync_?|_?primary_|foreign_|partition_|sort_|row_")
-#: Each with what a text must contain, in lower case.
+#: Each with what a text must contain, in lower case: one of the words that its rule cannot do without.
 _RULES = tuple(
-    (gate, re.compile(p))
+    (tuple(gate.split("|")), re.compile(p))
     for gate, p in (
         # login and password of a tool
         ("login", rf"\blogin\b[^\n]*?\s-p\s+[{_Q}]?(?P<v>[^\s{_Q}]+)"),
@@ -90,13 +90,13 @@ _RULES = tuple(
         ("securestring", rf"(?i:ConvertTo-SecureString)\s+(?:(?i:-String)\s+)?[{_Q}](?P<v>[^{_Q}\n]+)[{_Q}]"),
         ("basic", r"(?<![\w\-])(?i:basic)\s+(?P<v>[A-Za-z0-9+/]{16,}={0,2})"),
         # client.LogOn("user", "value")
-        ("(", rf"(?i:\b(?:log_?[oi]n|sign_?(?:in|on)|bind|connect|authenticate|impersonate|open_?session|set_?credentials?)\w*)\s*\(\s*{_OPEN}[\w.\-@\\\\]*[{_Q}]\s*,\s*{_OPEN}(?P<v>[^{_Q}\n]*)[{_Q}]"),
+        ("logon|login|log_on|log_in|signin|signon|sign_in|sign_on|bind|connect|authenticate|impersonate|opensession|open_session|setcredential|set_credential", rf"(?i:\b(?:log_?[oi]n|sign_?(?:in|on)|bind|connect|authenticate|impersonate|open_?session|set_?credentials?)\w*)\s*\(\s*{_OPEN}[\w.\-@\\\\]*[{_Q}]\s*,\s*{_OPEN}(?P<v>[^{_Q}\n]*)[{_Q}]"),
         # signed links
-        ("=", rf"[?&;](?i:sig|signature|access_token|auth_token|api_key|apikey|client_secret)=(?P<v>[^\s&{_Q}<>]+)"),
+        ("sig=|signature=|access_token=|auth_token=|api_key=|apikey=|client_secret=", rf"[?&;](?i:sig|signature|access_token|auth_token|api_key|apikey|client_secret)=(?P<v>[^\s&{_Q}<>]+)"),
         # options of tools that take a password
-        ("net use", rf"(?i:\bnet\s+use)\s+\S+\s+\S+\s+(?P<v>[^\s/{_Q}]\S*)"),
+        ("net", rf"(?i:\bnet\s+use)\s+\S+\s+\S+\s+(?P<v>[^\s/{_Q}]\S*)"),
         ("mysql", rf"(?i:\bmysql\w*)\b[^\n]*?\s-p(?P<v>[^\s{_Q}]+)"),
-        ("-p", rf"(?i:\b(?:sqlcmd|bcp|osql|isql|sshpass|plink|psftp|redis-cli|mongo\w*|ldapsearch|rdesktop))\b[^\n]*?\s-(?:P|p|a|w|pw)\s*[{_Q}]?(?P<v>[^\s{_Q}\-][^\s{_Q}]*)"),
+        ("sqlcmd|bcp|osql|isql|sshpass|plink|psftp|redis-cli|mongo|ldapsearch|rdesktop", rf"(?i:\b(?:sqlcmd|bcp|osql|isql|sshpass|plink|psftp|redis-cli|mongo\w*|ldapsearch|rdesktop))\b[^\n]*?\s-(?:pw\s+|[Ppaw]\s*)[{_Q}]?(?P<v>(?!\d+(?:\s|$))[^\s{_Q}\-][^\s{_Q}]*)"),
         # old login: user / value
         ("/", rf"(?:(?i:\b(?:login|logon|credentials?|account)\b)|(?://|#|--|/\*|<!--|')[^\n:/]*)\s*[:=]\s*[\w.\-@]+\s+/\s+(?P<v>[^\s/{_Q}]+)"),
     )
@@ -106,14 +106,6 @@ _ATTR = re.compile(rf"([\w:.\-]+)\s*=\s*([{_Q}])((?:(?!\2).)*)\2", re.S)
 _NAMED = re.compile(rf"(?i:{_WORDS})$")
 _BYTES = re.compile(r"(?i:\b\w*(?:key|secret|password|token))\s*=\s*(?:new\s+byte\s*\[\s*\d*\s*\]\s*)?\{\s*(?P<v>(?:0x[0-9A-Fa-f]{1,2}\s*,\s*){7,}0x[0-9A-Fa-f]{1,2})\s*,?\s*\}")
 _MORE = re.compile(rf"[{_Q}]\s*(?:\+|&|\.)\s*[@$]{{0,2}}[{_Q}]([^{_Q}\n]*)")
-#: A text without any of these, in lower case, has no candidate.
-_HINTS = (
-    *"pass pwd secret token credential _key apikey api-key signingkey sharedkey licencekey licensekey accesskey authkey privatekey accountkey encryptionkey storagekey masterkey sessionkey machinekey decryptionkey validationkey subscriptionkey servicekey deploykey sshkey".split(),
-    *"login logon signin bind( connect( authenticate account :// private authorization bearer basic securestring frombase64 0x -u --user mysql sqlcmd sig=".split(),
-    "net use", " / ",
-    *"akia asia ghp_ gho_ ghu_ ghs_ ghr_ github_pat glpat- sk- sk_ rk_ xox npm_ pypi- aiza eyj sg. oy2 dop_v1".split(),
-)
-
 #: Words that stand for a credential.
 _STAND_INS = frozenset(
     "changeme change_me change-me todo tbd fixme none null nil undefined redacted hidden masked removed secret password passwd pwd token apikey api-key string value example sample dummy test testing default empty n/a na xxx yes no true false on off required optional unset your_password yourpassword my_password mypassword placeholder".split()
@@ -172,15 +164,13 @@ def _lower(text: str) -> str:
 
 
 def candidates(text: str | None) -> list[Found]:
-    """Usable values in order of their first character, none inside another; empty for null and for texts without any hint."""
+    """Usable values in order of their first character, none inside another; empty for null."""
     if not text:
         return []
     low = _lower(text)
-    if not any(h in low for h in _HINTS):
-        return []
     found = _pem(text)
     found += [Found(m.start(), m.end(), m[0], True) for m in _SHAPE.finditer(text) if not _MASK.search(m[0])]
-    spans = [(m.start("v"), m.end("v"), m["v"]) for gate, rule in _RULES if gate in low for m in rule.finditer(text)]
+    spans = [(m.start("v"), m.end("v"), m["v"]) for gate, rule in _RULES if any(g in low for g in gate) for m in rule.finditer(text)]
     for w in _NAME_END.finditer(low):
         m = _AFTER_NAME.match(text, w.end())
         before = text[max(0, w.start() - 48) : w.start()]
