@@ -1,24 +1,25 @@
-"""New batches against all history: multi-key sorted-neighbourhood runs.
+"""New batches against all history: sorted runs of many keys.
 
 A text is its set of distinct words. It stands in `ORDERS` sort orders; in each its key is made of the least of its
-words under `DEPTH` random orders of the rarer words, so near-duplicates fall side by side. One more order has the
+words under `DEPTH` random orders of the rarer words, so near-duplicates share keys. One more order has the
 hash of the whole set, where equal texts meet.
 
 State, in one shared folder:
 
-* ``keys/`` runs of (key, tail, sig, row_id), each sorted within its files;
+* ``keys/`` runs of (key, sig, row_id), each sorted within its files;
 * ``texts/`` runs of (row_id, first_row_id, fp, words);
 * ``common/`` the words too frequent to make keys, fixed when the state is first filled.
 
 Ingesting a batch sketches the batch alone. Of the history it reads the key columns, keeps the rows whose key occurs
-in the batch (by a Bloom filter, without a shuffle), merges them with the batch's keys in sort order over key ranges,
-and compares only windows around new records by 64-bit signatures. What survives is checked exactly on word sets,
+in the batch (by a Bloom filter, without a shuffle), brings them together with the batch's keys over key ranges, and
+compares every new record by 64-bit signatures with all records that share a key. What survives is checked exactly on word sets,
 for which only the texts concerned are read. Links between records of the batch and to the history's classes give
 each new text the first row of its class. After every `COMPACT_EVERY` runs the runs are merged: rows in key order
 again, texts equal to an earlier one dropped.
 
-A window bounds the work of a crowded key, whoever shares it: within a crowd of near-copies any neighbour leads to the
-class, so a class of a third of all rows needs no more than `WINDOW` comparisons a record and order.
+Two texts that share a fraction s of their rarer words have a key in common with chance 1 - (1 - s^DEPTH)^ORDERS: 0.9999
+at 0.6, 0.997 at 0.5. The rows of a key are in one range and are all compared, so the work of a key grows with its new
+rows times all its rows.
 """
 
 from __future__ import annotations
@@ -37,9 +38,9 @@ from gritmill.llm.canon import withheld
 from gritmill.operators.components import least_labels
 from gritmill.session import discard, fresh_path, materialise, materialise_at
 
-ORDERS, DEPTH, SIG_BITS = 10, 3, 64
-#: Neighbours on either side, in each order.
-WINDOW = 8
+ORDERS, DEPTH, SIG_BITS = 20, 2, 64
+#: So many pairs are gathered before they are put out; bounds memory alone.
+PAIRS_HELD = 200_000
 #: Most signature bits in which candidates may differ: 12.8 on average at a similarity of 0.6, standard deviation 3.2.
 MAX_APART = 24
 #: Two texts repeat one another if more than this share of the distinct words of both is shared.
@@ -51,7 +52,7 @@ COMPACT_EVERY = 6
 
 _WORD = re.compile(r"\w+")
 _SKETCH = "row_id bigint, batch_id int, fp1 bigint, fp2 bigint, words array<int>"
-_KEY = "key bigint, tail bigint, sig bigint, row_id bigint"
+_KEY = "key bigint, sig bigint, row_id bigint"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,49 +130,62 @@ def _keys(common):
             x = flat.view(np.uint32).astype(np.uint64)
             kept = np.bincount(owner[keep], minlength=len(ids))
             kstarts = np.concatenate([[0], np.cumsum(kept)[:-1]])
-            low = _least(x[keep], kstarts, ORDERS * (DEPTH + 1), 11)
+            low = _least(x[keep], kstarts, ORDERS * DEPTH, 11)
             bits = _least(x, starts, SIG_BITS, 23) & np.uint64(1)
             sig = np.zeros(len(ids), np.uint64)
             for i in range(SIG_BITS):
                 sig |= bits[i] << np.uint64(i)
-            keys, tails = [b.column("fp1").to_numpy(zero_copy_only=False).astype(np.int64)], [np.zeros(len(ids), np.int64)]
+            keys = [b.column("fp1").to_numpy(zero_copy_only=False).astype(np.int64)]
             for o in range(ORDERS):
-                at = o * (DEPTH + 1)
+                at = o * DEPTH
                 k = np.full(len(ids), o + 1, np.uint64)
                 for i in range(DEPTH):
                     k = (k ^ low[at + i]) * np.uint64(0xD6E8FEB86659FD93)
                     k ^= k >> np.uint64(32)
                 keys.append(k.view(np.int64))
-                tails.append(low[at + DEPTH].astype(np.int64))
             m = len(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(tails)), pa.array(np.tile(sig.view(np.int64), m)), pa.array(np.tile(ids, m))], names=["key", "tail", "sig", "row_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(sig.view(np.int64), m)), pa.array(np.tile(ids, m))], names=["key", "sig", "row_id"])
 
     return run
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of a partition sorted by (key, tail, row_id): the last WINDOW rows of a batch are carried into the next."""
-    held: list[np.ndarray] | None = None
-    for b in batches:
-        new = [b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "sig", "row_id", "fresh")]
-        cols = new if held is None else [np.concatenate([h, c]) for h, c in zip(held, new)]
-        key, sig, ids, fresh = cols
-        first = len(key) - len(new[0])
-        a, o = [], []
-        for d in range(1, WINDOW + 1):
-            i = np.arange(max(first, d), len(key))
-            j = i - d
-            hit = (key[i] == key[j]) & (fresh[i] | fresh[j]) & (ids[i] != ids[j])
-            i, j = i[hit], j[hit]
-            near = np.bitwise_count(sig[i].view(np.uint64) ^ sig[j].view(np.uint64)) <= MAX_APART
-            i, j = i[near], j[near]
-            swap = ~fresh[i] | (fresh[j] & (ids[i] < ids[j]))  # the new record, or the later of two new ones, comes first
-            a.append(np.where(swap, ids[j], ids[i]))
-            o.append(np.where(swap, ids[i], ids[j]))
-        if a and sum(map(len, a)):
+def _compared(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of whole keys, sorted by key with new rows first: each new row with every row after it."""
+    key, sig, ids, fresh = cols
+    end = np.searchsorted(key, key, side="right")
+    j, d, held, a, o = np.flatnonzero(fresh), 0, 0, [], []
+    while len(j):
+        d += 1
+        j = j[j + d < end[j]]
+        i = j + d
+        near = (ids[i] != ids[j]) & (np.bitwise_count(sig[i].view(np.uint64) ^ sig[j].view(np.uint64)) <= MAX_APART)
+        x, y = i[near], j[near]
+        swap = ~fresh[x] | (ids[x] < ids[y])  # the new record, or the later of two new ones, comes first
+        a.append(np.where(swap, ids[y], ids[x]))
+        o.append(np.where(swap, ids[x], ids[y]))
+        held += len(x)
+        if held and (held > PAIRS_HELD or not len(j)):
             p = np.unique(np.stack([np.concatenate(a), np.concatenate(o)], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
-        held = [c[-WINDOW:] for c in cols]
+            held, a, o = 0, [], []
+
+
+def _within_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of a partition that has its keys whole, sorted by key with new rows first."""
+    held: list[list[np.ndarray]] = []  # of the last key, which may go on in the next batch
+    for b in batches:
+        if not b.num_rows:
+            continue
+        new = [b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "sig", "row_id", "fresh")]
+        if held and held[0][0][0] == new[0][-1]:
+            held.append(new)
+            continue
+        cols = [np.concatenate(c) for c in zip(*held, new)]
+        cut = np.searchsorted(cols[0], cols[0][-1])
+        yield from _compared([c[:cut] for c in cols])
+        held = [[c[cut:] for c in cols]]
+    if held:
+        yield from _compared([np.concatenate(c) for c in zip(*held)])
 
 
 class History:
@@ -207,7 +221,7 @@ class History:
         if self.common is None:
             self._set_common(texts)
         run = f"{self.root}/keys/{self.runs}"
-        texts.select("row_id", "fp1", "words").mapInArrow(_keys(self.common), _KEY).sortWithinPartitions("key", "tail").write.parquet(run)
+        texts.select("row_id", "fp1", "words").mapInArrow(_keys(self.common), _KEY).sortWithinPartitions("key").write.parquet(run)
         new = self.spark.read.schema(_KEY).parquet(run)
         both = new.withColumn("fresh", F.lit(True))
         working = [texts_at]
@@ -218,8 +232,8 @@ class History:
             old, near_at = materialise_at(bloom.within(self._read(self.keys, _KEY), "key", f), "history-near")
             working.append(near_at)
             both = both.unionByName(old.withColumn("fresh", F.lit(False)))
-        ordered = both.repartitionByRange("key", "tail", "row_id").sortWithinPartitions("key", "tail", "row_id")
-        cand, cand_at = materialise_at(ordered.mapInArrow(_windows, "a bigint, b bigint").distinct(), "history-candidates")
+        ordered = both.repartitionByRange("key").sortWithinPartitions("key", F.desc("fresh"))
+        cand, cand_at = materialise_at(ordered.mapInArrow(_within_keys, "a bigint, b bigint").distinct(), "history-candidates")
         mine = texts.select("row_id", "words", F.lit(None).cast("bigint").alias("first_row_id"))
         other = mine
         if self.texts:
@@ -260,7 +274,7 @@ class History:
             return flagged.where("NOT maybe").select(*cols).unionByName(flagged.where("maybe").join(gone, "row_id", "left_anti").select(*cols))
 
         base = f"{self.root}/keys/base{self.runs}", f"{self.root}/texts/base{self.runs}"
-        kept(self._read(self.keys, _KEY)).repartitionByRange("key", "tail").sortWithinPartitions("key", "tail").write.parquet(base[0])
+        kept(self._read(self.keys, _KEY)).repartitionByRange("key", "row_id").sortWithinPartitions("key").write.parquet(base[0])
         kept(old).write.parquet(base[1])
         discard(self.spark, *self.keys, *self.texts)
         self.keys, self.texts = [base[0]], [base[1]]

@@ -1,9 +1,12 @@
 """Copies but for form (p5) and repeats of history (p1), against brute force."""
 
 import random
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
-from gritmill.llm import bloom
+from gritmill.llm import bloom, history
 from gritmill.llm.canon import canonical, record_key, withheld
 from gritmill.llm.formdup import collapsed_records, form_duplicates
 from gritmill.llm.history import SIMILAR, History, repeats_of_history, sketches
@@ -129,3 +132,29 @@ def test_history_empty_and_null_batch(spark):
     assert repeats_of_history(_report(spark, [])).count() == 0
     rows = [(1, None, "one two three four five six", None, None), (2, 1, "ONE two three four five six", None, None)]
     assert [tuple(r) for r in repeats_of_history(_report(spark, rows)).collect()] == [(1, 2)]
+
+
+def test_texts_at_the_bound_share_a_key():
+    rng, n = np.random.default_rng(6), 3000
+    words = rng.integers(-(1 << 31), 1 << 31, (n, 60)).astype(np.int32)
+    # 48 words each, 36 of them shared: 0.6 of the words of both
+    sets = np.concatenate([words[:, :48], words[:, 12:]])
+    b = pa.RecordBatch.from_arrays([pa.array(np.arange(2 * n)), pa.array(np.arange(2 * n)), pa.array(list(sets), pa.list_(pa.int32()))], names=["row_id", "fp1", "words"])
+    (k,) = history._keys(SimpleNamespace(value=(np.zeros(0, np.int32), np.zeros(0, np.int64))))(iter([b]))
+    keys = {}
+    for key, i in zip(k.column("key").to_pylist(), k.column("row_id").to_pylist()):
+        keys.setdefault(i, set()).add(key)
+    assert sum(bool(keys[i] & keys[n + i]) for i in range(n)) >= 0.998 * n
+
+
+@pytest.mark.parametrize("cut", [1, 7, 64, 1000])
+def test_every_new_row_of_a_key_is_compared(cut):
+    rng = random.Random(8)
+    rows = sorted(((rng.choice([-5, 1, 1, 1, 9, rng.randrange(50)]), rng.getrandbits(63) if rng.random() < 0.9 else 77, i, rng.random() < 0.3) for i in range(300)), key=lambda r: (r[0], not r[3]))
+    want = set()
+    for k, s, i, f in rows:
+        want |= {(i, j) for l, t, j, g in rows if k == l and f and i != j and (not g or j < i) and (s ^ t).bit_count() <= history.MAX_APART}
+    cols = [pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_()))]
+    batches = [b for b in pa.Table.from_arrays(cols, names=["key", "sig", "row_id", "fresh"]).to_batches(max_chunksize=cut)]
+    got = [p for b in history._within_keys(iter(batches)) for p in zip(*(c.to_pylist() for c in b.columns))]
+    assert set(got) == want and len(want) > 100
