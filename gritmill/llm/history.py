@@ -1,58 +1,57 @@
-"""New batches against all history: sorted runs of many keys.
+"""New batches against all history: sorted-neighbourhood runs over many keys, with windows that lose nothing.
 
-A text is its set of distinct words. It stands in `ORDERS` sort orders; in each its key is made of the least of its
-words under `DEPTH` random orders of the rarer words, so near-duplicates share keys. One more order has the
-hash of the whole set, where equal texts meet.
+A text is its set of distinct words. All words stand in one order, rare ones first. Two texts of m and n words that share
+more than `SIMILAR` of the words of both must share one of their first n - floor(SIMILAR n) words: these are the sort keys
+of a text, about two fifths of its words. Under a key, texts stand in order of size, and only those whose size is more than
+SIMILAR times the new record's and less than 1 / SIMILAR times it can be similar: this is the window of a new record.
+Neither the keys nor the window lose a pair, whatever the order of words; the order decides only how crowded keys are.
 
 State, in one shared folder:
 
-* ``keys/`` runs of (key, sig, row_id), each sorted within its files;
-* ``texts/`` runs of (row_id, first_row_id, fp, words);
-* ``common/`` the words too frequent to make keys, fixed when the state is first filled.
-
-Ingesting a batch sketches the batch alone. Of the history it reads the key columns, keeps the rows whose key occurs
-in the batch (by a Bloom filter, without a shuffle), brings them together with the batch's keys over key ranges, and
-compares every new record by 64-bit signatures with all records that share a key. What survives is checked exactly on word sets,
-for which only the texts concerned are read. Links between records of the batch and to the history's classes give
-each new text the first row of its class. After every `COMPACT_EVERY` runs the runs are merged: rows in key order
-again, texts equal to an earlier one dropped.
-
-Two texts that share a fraction s of their rarer words have a key in common with chance 1 - (1 - s^DEPTH)^ORDERS: 0.9999
-at 0.6, 0.997 at 0.5. The rows of a key are in one range and are all compared, so the work of a key grows with its new
-rows times all its rows.
+* ``keys``, a table of (word, n, pos, sig, fp1), cut into ranges of keys (buckets), sorted in each by key and size;
+* ``texts``, a table of (fp1, fp2, row_id, first_row_id, words), cut into ranges of fingerprints.
+
+Ingesting a batch sketches the batch alone and sets aside texts that are in the history word for word. Its keys are
+appended as one sorted run to the key ranges; then the run is merged with the ranges, which stay where they are (no
+shuffle of history), and each new record is compared with its windows: by what the places of the keys and the sizes leave
+possible, and by 128 parity bits, of which at most as many differ as words differ. Both are bounds, not estimates. What
+survives is compared exactly on word sets, for which only the batch and the ranges of fingerprints concerned are read. A
+batch of at most `LOOKUP` texts reads only the ranges it touches. Links within the batch and to the classes of the history
+give each new text the first row of its class. After every `COMPACT_EVERY` runs the runs are merged into one file for
+each range; when the texts have doubled since the order of words was fixed, it is taken anew and the keys are made again,
+so a word that has become frequent stops being a key of most texts.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gritmill.llm import bloom
 from gritmill.llm.canon import withheld
 from gritmill.operators.components import least_labels
-from gritmill.session import discard, fresh_path, materialise, materialise_at
+from gritmill.session import discard, fresh_path, materialise_at
 
-ORDERS, DEPTH, SIG_BITS = 20, 2, 64
-#: So many pairs are gathered before they are put out; bounds memory alone.
-PAIRS_HELD = 200_000
-#: Most signature bits in which candidates may differ: 12.8 on average at a similarity of 0.6, standard deviation 3.2.
-MAX_APART = 24
 #: Two texts repeat one another if more than this share of the distinct words of both is shared.
 SIMILAR = 0.6
-#: A word in more than this share of the first texts makes no keys, unless a text has fewer than MIN_RARE other words:
-#: then its least frequent ones fill up.
-COMMON_SHARE, MIN_RARE = 0.005, 8
+#: Words in more than this share of the texts are ordered by their frequency, all rarer ones stand before them.
+COMMON_SHARE = 0.0005
 COMPACT_EVERY = 6
+#: Batches of at most so many texts name the keys they want, so that ranges without them are not read.
+LOOKUP = 64
+#: A range is split when it holds more keys.
+RANGE_ROWS = 4_000_000
 
 _WORD = re.compile(r"\w+")
 _SKETCH = "row_id bigint, batch_id int, fp1 bigint, fp2 bigint, words array<int>"
-_KEY = "key bigint, sig bigint, row_id bigint"
+_KEY = "word int, n int, pos int, sig1 bigint, sig2 bigint, fp1 bigint"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,215 +87,173 @@ def sketches(report: DataFrame) -> DataFrame:
     return report.select("row_id", F.coalesce("batch_id", F.lit(0)), F.col("evidence.snippet")).mapInArrow(_sketch, _SKETCH)
 
 
-def _functions(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    r = np.random.default_rng(seed)
-    return r.integers(1, 1 << 63, n, dtype=np.uint64) | np.uint64(1), r.integers(0, 1 << 63, n, dtype=np.uint64)
-
-
-def _least(x: np.ndarray, starts: np.ndarray, n: int, seed: int) -> np.ndarray:
-    """The least values of each segment of `x` under `n` hash functions, as an n x segments array of 32-bit values."""
-    a, b = _functions(n, seed)
-    out = np.empty((n, len(starts)), np.uint64)
-    for i in range(n):
-        v = x * a[i]
-        v += b[i]
-        v ^= v >> np.uint64(32)
-        v *= np.uint64(0x9E3779B97F4A7C15)
-        v >>= np.uint64(32)
-        out[i] = np.minimum.reduceat(v, starts)
-    return out
-
-
-def _keys(common):
-    """Key rows of texts given as (row_id, fp1, words)."""
+def _keys(order: Broadcast):
+    """Key rows of texts given as (fp1, words): the first words of each text in the order of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, rank = common.value
+        frequent, counts = order.value
         for b in batches:
-            ids = b.column("row_id").to_numpy(zero_copy_only=False)
-            if not len(ids):
-                continue
             col = b.column("words")
             flat = col.flatten().to_numpy(zero_copy_only=False)
+            if not len(flat):
+                continue
             n = pa.compute.list_value_length(col).to_numpy(zero_copy_only=False).astype(np.int64)
-            owner = np.repeat(np.arange(len(ids)), n)
-            rare = ~np.isin(flat, frequent)
-            lack = MIN_RARE - np.bincount(owner[rare], minlength=len(ids))
-            starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-            keep = rare.copy()
-            for t in np.flatnonzero(lack > 0):
-                at = np.flatnonzero(~rare[starts[t] : starts[t] + n[t]]) + starts[t]
-                keep[at[np.argsort(rank[np.searchsorted(frequent, flat[at])])[: lack[t]]]] = True
-            x = flat.view(np.uint32).astype(np.uint64)
-            kept = np.bincount(owner[keep], minlength=len(ids))
-            kstarts = np.concatenate([[0], np.cumsum(kept)[:-1]])
-            low = _least(x[keep], kstarts, ORDERS * DEPTH, 11)
-            bits = _least(x, starts, SIG_BITS, 23) & np.uint64(1)
-            sig = np.zeros(len(ids), np.uint64)
-            for i in range(SIG_BITS):
-                sig |= bits[i] << np.uint64(i)
-            keys = [b.column("fp1").to_numpy(zero_copy_only=False).astype(np.int64)]
-            for o in range(ORDERS):
-                at = o * DEPTH
-                k = np.full(len(ids), o + 1, np.uint64)
-                for i in range(DEPTH):
-                    k = (k ^ low[at + i]) * np.uint64(0xD6E8FEB86659FD93)
-                    k ^= k >> np.uint64(32)
-                keys.append(k.view(np.int64))
-            m = len(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(sig.view(np.int64), m)), pa.array(np.tile(ids, m))], names=["key", "sig", "row_id"])
+            owner = np.repeat(np.arange(len(n)), n)
+            rank = np.zeros(len(flat), np.int64)
+            if len(frequent):
+                at = np.minimum(np.searchsorted(frequent, flat), len(frequent) - 1)
+                rank = np.where(frequent[at] == flat, counts[at], 0)
+            starts = np.cumsum(n) - n
+            pos = np.arange(len(flat)) - starts[owner]
+            key = np.lexsort((flat, rank, owner))[pos < (n - np.floor(SIMILAR * n).astype(np.int64))[owner]]
+            bit = (flat.view(np.uint32).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(57)
+            one = np.uint64(1) << (bit & np.uint64(63))
+            sig = [np.bitwise_xor.reduceat(np.where((bit >> np.uint64(6)) == h, one, np.uint64(0)), starts).view(np.int64) for h in (0, 1)]
+            o = owner[key]
+            place = pos[pos < (n - np.floor(SIMILAR * n).astype(np.int64))[owner]]
+            fp = b.column("fp1").to_numpy(zero_copy_only=False)
+            cols = [flat[key], n[o].astype(np.int32), place.astype(np.int32), sig[0][o], sig[1][o], fp[o]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["word", "n", "pos", "sig1", "sig2", "fp1"])
 
     return run
 
 
-def _compared(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of whole keys, sorted by key with new rows first: each new row with every row after it."""
-    key, sig, ids, fresh = cols
-    end = np.searchsorted(key, key, side="right")
-    j, d, held, a, o = np.flatnonzero(fresh), 0, 0, [], []
-    while len(j):
-        d += 1
-        j = j[j + d < end[j]]
-        i = j + d
-        near = (ids[i] != ids[j]) & (np.bitwise_count(sig[i].view(np.uint64) ^ sig[j].view(np.uint64)) <= MAX_APART)
-        x, y = i[near], j[near]
-        swap = ~fresh[x] | (ids[x] < ids[y])  # the new record, or the later of two new ones, comes first
-        a.append(np.where(swap, ids[y], ids[x]))
-        o.append(np.where(swap, ids[x], ids[y]))
-        held += len(x)
-        if held and (held > PAIRS_HELD or not len(j)):
-            p = np.unique(np.stack([np.concatenate(a), np.concatenate(o)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
-            held, a, o = 0, [], []
-
-
-def _within_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of a partition that has its keys whole, sorted by key with new rows first."""
-    held: list[list[np.ndarray]] = []  # of the last key, which may go on in the next batch
-    for b in batches:
-        if not b.num_rows:
-            continue
-        new = [b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "sig", "row_id", "fresh")]
-        if held and held[0][0][0] == new[0][-1]:
-            held.append(new)
-            continue
-        cols = [np.concatenate(c) for c in zip(*held, new)]
-        cut = np.searchsorted(cols[0], cols[0][-1])
-        yield from _compared([c[:cut] for c in cols])
-        held = [[c[cut:] for c in cols]]
-    if held:
-        yield from _compared([np.concatenate(c) for c in zip(*held)])
-
-
 class History:
     """Accepted texts, kept below `root` between batches."""
 
-    def __init__(self, spark: SparkSession, root: str | None = None) -> None:
+    def __init__(self, spark: SparkSession, root: str | None = None, ranges: int | None = None) -> None:
         self.spark = spark
         self.root = root or fresh_path(spark, "history")
-        self.keys: list[str] = []
-        self.texts: list[str] = []
-        self.runs = 0
-        self.common = None
-
-    def _read(self, paths: list[str], ddl: str) -> DataFrame:
-        return self.spark.read.schema(ddl).parquet(*paths) if paths else self.spark.createDataFrame([], ddl)
-
-    def _set_common(self, texts: DataFrame) -> None:
-        n = texts.count()
+        self.ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.keys: str | None = None
+        self.texts: str | None = None
+        self.runs = self.since = self.n_texts = self.ordered_at = 0
+        self.order: Broadcast | None = None
+
+    def _put(self, df: DataFrame, name: str | None, kind: str, by: str, part: str | None = None) -> str:
+        """Appends a sorted run to every range of a table, or makes the table."""
+        sort = (by, "n") if kind == "keys" else (by,)
+        writer = df.repartition(self.ranges, by).write.bucketBy(self.ranges, by).sortBy(*sort)
+        if part:
+            writer = writer.partitionBy(part)
+        if name:
+            writer.mode("append").saveAsTable(name)
+            return name
+        name = f"gritmill_{kind}_{uuid.uuid4().hex}"
+        writer.option("path", f"{self.root}/{name}").saveAsTable(name)
+        return name
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE {name}")
+        discard(self.spark, f"{self.root}/{name}")
+
+    def _set_order(self, texts: DataFrame, n: int) -> None:
+        """Fixes the order of words; what is sent has at most (words of a mean text) / COMMON_SHARE entries."""
         df = texts.select(F.explode("words").alias("w")).groupBy("w").count().where(F.col("count") > F.lit(COMMON_SHARE) * n)
-        # at most (words of a mean text) / COMMON_SHARE entries
-        by_rank = [r.w for r in df.orderBy("count", "w").select("w").collect()] if n else []
-        words = np.array(by_rank, np.int32)
-        order = np.argsort(words)
-        self.common = self.spark.sparkContext.broadcast((words[order], order))
-
-    def ingest(self, rows: DataFrame) -> DataFrame:
-        """Takes one batch of sketches and accepts it; gives ``(fp1, fp2, first_row_id)`` of each distinct text of the batch.
-
-        ``first_row_id`` is the first accepted row of the class, or the text's own first row. An empty batch changes nothing.
+        got = df.toPandas()
+        words, counts = got["w"].to_numpy(np.int32), got["count"].to_numpy(np.int64)
+        at = np.argsort(words)
+        self.order, self.ordered_at = self.spark.sparkContext.broadcast((words[at], counts[at])), n
+
+    def _touched(self, table: str, by: str, wanted: DataFrame, few: bool) -> DataFrame:
+        """A table without ranges that hold none of the wanted values, where these are few enough to be named."""
+        df = self.spark.table(table)
+        if not few:
+            return df
+        got = [r[0] for r in wanted.select(by).distinct().limit(100 * LOOKUP + 1).collect()]
+        return df if len(got) > 100 * LOOKUP else df.where(F.col(by).isin(got) if got else F.lit(False))
+
+    def ingest(self, rows: DataFrame) -> None:
+        """Takes one batch of sketches and accepts it. An empty batch changes nothing.
+
+        The class of a text is the first accepted row it leads to; a text that is in the history word for word keeps
+        the class it has there.
+        """
+        texts = rows.groupBy("fp1", "fp2").agg(F.min("row_id").alias("row_id"), F.first("words").alias("words"))
+        if self.texts:
+            texts = texts.join(self.spark.table(self.texts).select("fp1", "fp2"), ["fp1", "fp2"], "left_anti")
+        texts, texts_at = materialise_at(texts, "history-texts")
+        if not (n_new := texts.count()):
+            discard(self.spark, texts_at)
+            return
+        if self.order is None:
+            self._set_order(texts, n_new)
+        few = bool(self.texts) and n_new <= LOOKUP
+        keys = texts.select("fp1", "words").mapInArrow(_keys(self.order), _KEY).withColumn("run", F.lit(self.runs))
+        self.keys = self._put(keys, self.keys, "keys", "word", "run")
+        new = self.spark.table(self.keys).where(F.col("run") == self.runs)
+        x, y = new.alias("x"), self._touched(self.keys, "word", new, few).alias("y")
+        # the windows of the new records: sizes, places, parity bits, and each pair once
+        near = f"""
+            x.word = y.word AND y.n > x.n * {SIMILAR}D AND y.n * {SIMILAR}D < x.n
+            AND bit_count(x.sig1 ^ y.sig1) + bit_count(x.sig2 ^ y.sig2) < (x.n + y.n) * {(1 - SIMILAR) / (1 + SIMILAR)}D
+            AND least(x.n - x.pos, y.n - y.pos) > (x.n + y.n) * {SIMILAR / (1 + SIMILAR)}D
+            AND (y.run < {self.runs} OR x.fp1 < y.fp1)
         """
-        texts, texts_at = materialise_at(rows.groupBy("fp1", "fp2").agg(F.min("row_id").alias("row_id"), F.first("words").alias("words")), "history-texts")
-        n_texts = texts.count()
-        if self.common is None:
-            self._set_common(texts)
-        run = f"{self.root}/keys/{self.runs}"
-        texts.select("row_id", "fp1", "words").mapInArrow(_keys(self.common), _KEY).sortWithinPartitions("key").write.parquet(run)
-        new = self.spark.read.schema(_KEY).parquet(run)
-        both = new.withColumn("fresh", F.lit(True))
+        pairs = x.join(y, F.expr(near)).selectExpr("x.fp1 AS a", "y.fp1 AS b").distinct()
         working = [texts_at]
-        known = "row_id bigint, first_row_id bigint, fp1 bigint, fp2 bigint, words array<int>"
-        if self.keys:
-            f = bloom.merged(new, ["key"], n_texts * (ORDERS + 1), repeated=False)
-            # written, for ranges are sampled first and the history's keys would be read and filtered twice
-            old, near_at = materialise_at(bloom.within(self._read(self.keys, _KEY), "key", f), "history-near")
-            working.append(near_at)
-            both = both.unionByName(old.withColumn("fresh", F.lit(False)))
-        ordered = both.repartitionByRange("key").sortWithinPartitions("key", F.desc("fresh"))
-        cand, cand_at = materialise_at(ordered.mapInArrow(_within_keys, "a bigint, b bigint").distinct(), "history-candidates")
-        mine = texts.select("row_id", "words", F.lit(None).cast("bigint").alias("first_row_id"))
+        mine = texts.select("fp1", "row_id", "words", F.lit(None).cast("bigint").alias("first_row_id"))
         other = mine
         if self.texts:
-            old = bloom.within(self._read(self.texts, known).select("row_id", "words", "first_row_id"), "row_id", bloom.merged(cand, ["b"], cand.count(), repeated=False))
-            other = mine.unionByName(old)
-        shared = F.size(F.array_intersect("x.words", "y.words"))
-        links = cand.join(mine.alias("x"), F.col("a") == F.col("x.row_id")).join(other.alias("y"), F.col("b") == F.col("y.row_id"))
-        links = links.where(shared > F.lit(SIMILAR) * (F.size("x.words") + F.size("y.words") - shared)).select("a", "b", F.col("y.first_row_id").alias("old"))
-        links, links_at = materialise_at(links, "history-links")
-        start = links.groupBy("a").agg(F.min("old").alias("old"))
-        inner = links.where("old IS NULL").select("a", "b")
-        first = least_labels(start.select(F.col("a").alias("id"), F.least("a", "old").alias("label")), inner)
-        done = texts.join(first, texts.row_id == first.id, "left").select("row_id", F.coalesce("label", "row_id").alias("first_row_id"), "fp1", "fp2", "words")
-        run_texts = f"{self.root}/texts/{self.runs}"
-        done.write.parquet(run_texts)
-        discard(self.spark, *working, cand_at, links_at)
-        self.keys.append(run)
-        self.texts.append(run_texts)
-        self.runs += 1
-        # a copy of its own, for compaction deletes the run
-        out = materialise(self.spark.read.schema(known).parquet(run_texts).select("fp1", "fp2", "first_row_id"), "history-classes")
-        if len(self.keys) > COMPACT_EVERY:
+            if few:
+                pairs, at = materialise_at(pairs, "history-pairs")
+                working.append(at)
+            old = self._touched(self.texts, "fp1", pairs.select(F.col("b").alias("fp1")), few)
+            other = mine.unionByName(old.select("fp1", "row_id", "words", "first_row_id"))
+        links = pairs.join(mine.alias("x"), F.expr("a = x.fp1")).join(other.alias("y"), F.expr("b = y.fp1"))
+        links = links.selectExpr("x.row_id AS a", "y.row_id AS b", "y.first_row_id AS old", "size(x.words) + size(y.words) AS n", "size(array_intersect(x.words, y.words)) AS shared")
+        links = links.where(f"shared > {SIMILAR}D * (n - shared)").select("a", "b", "old")
+        links, at = materialise_at(links, "history-links")
+        working.append(at)
+        start = links.groupBy("a").agg(F.min("old").alias("old")).select(F.col("a").alias("id"), F.least("a", "old").alias("label"))
+        first = least_labels(start, links.where("old IS NULL").select("a", "b"))
+        done = texts.join(first, texts.row_id == first.id, "left")
+        done = done.select("fp1", "fp2", "row_id", F.coalesce("label", "row_id").alias("first_row_id"), "words")
+        self.texts = self._put(done, self.texts, "texts", "fp1")
+        discard(self.spark, *working)
+        self.runs, self.since, self.n_texts = self.runs + 1, self.since + 1, self.n_texts + n_new
+        if self.since > COMPACT_EVERY:
             self.compact()
-        return out
 
     def compact(self) -> None:
-        """Merges all runs into one, in key order; texts equal to an earlier one go."""
-        known = "row_id bigint, first_row_id bigint, fp1 bigint, fp2 bigint, words array<int>"
-        old = self._read(self.texts, known)
-        again = old.groupBy("fp1", "fp2").agg(F.min("row_id").alias("keep"), F.count("*").alias("n")).where("n > 1")
-        gone = materialise(old.select("fp1", "fp2", "row_id").join(again, ["fp1", "fp2"]).where("row_id > keep").select("row_id"), "history-gone")
-        f = bloom.merged(gone, ["row_id"], gone.count(), repeated=False)
-
-        def kept(df: DataFrame) -> DataFrame:
-            """Rows without those to go; only what the filter holds for possible is joined, all else stays where it is."""
-            cols = df.columns
-            flagged = bloom.flagged(df, ["row_id"], f, "maybe")
-            return flagged.where("NOT maybe").select(*cols).unionByName(flagged.where("maybe").join(gone, "row_id", "left_anti").select(*cols))
-
-        base = f"{self.root}/keys/base{self.runs}", f"{self.root}/texts/base{self.runs}"
-        kept(self._read(self.keys, _KEY)).repartitionByRange("key", "row_id").sortWithinPartitions("key").write.parquet(base[0])
-        kept(old).write.parquet(base[1])
-        discard(self.spark, *self.keys, *self.texts)
-        self.keys, self.texts = [base[0]], [base[1]]
+        """Merges all runs into one file for each range; with twice the texts, keys are made in a new order of words."""
+        texts, keys = self.spark.table(self.texts), self.spark.table(self.keys)
+        if self.n_texts >= 2 * self.ordered_at:
+            self._set_order(texts, self.n_texts)
+            keys = texts.select("fp1", "words").mapInArrow(_keys(self.order), _KEY)
+        else:
+            keys = keys.drop("run")
+        self.ranges = max(self.ranges, -(-keys.count() // RANGE_ROWS))
+        old = self.keys, self.texts
+        self.keys = self._put(keys.withColumn("run", F.lit(-1)), None, "keys", "word", "run")
+        self.texts = self._put(texts, None, "texts", "fp1")
+        for name in old:
+            self._drop(name)
+        self.since = 0
+
+    def turned_away(self, rows: DataFrame) -> DataFrame:
+        """``(earlier_row_id, later_row_id)`` of those sketches, already ingested, that are not the first of their class.
+
+        It reads the state, so take it before a later batch is compacted.
+        """
+        if not self.texts:
+            return self.spark.createDataFrame([], "earlier_row_id bigint, later_row_id bigint")
+        known = self.spark.table(self.texts).select("fp1", "fp2", F.col("first_row_id").alias("earlier_row_id"))
+        got = rows.select("fp1", "fp2", F.col("row_id").alias("later_row_id")).join(known, ["fp1", "fp2"])
+        return got.where("earlier_row_id < later_row_id").select("earlier_row_id", "later_row_id")
 
 
 def repeats_of_history(report: DataFrame) -> DataFrame:
     """``(earlier_row_id, later_row_id)``: rows of batches 1 and up to turn away, each with the first row of its class.
 
-    The batches are ingested one after another, as they would arrive. Null, blank and withheld snippets are never cases;
-    rows without an id are left out; an empty table gives no rows.
+    The batches are ingested one after another, as they would arrive; a class once given to a text stays. Null, blank
+    and withheld snippets are never cases; rows without an id are left out; an empty table gives no rows.
     """
     spark = report.sparkSession
     path = fresh_path(spark, "history-sketches")
     sketches(report).write.partitionBy("batch_id").parquet(path)
     rows = spark.read.schema(_SKETCH).parquet(path)
     history = History(spark)
-    out = None
     for b in sorted(r.batch_id for r in rows.select("batch_id").distinct().collect()):
-        batch = rows.where(F.col("batch_id") == b)
-        classes = history.ingest(batch)
-        if b >= 1:
-            got = batch.select("row_id", "fp1", "fp2").join(classes, ["fp1", "fp2"]).where("first_row_id < row_id")
-            got = got.select(F.col("first_row_id").alias("earlier_row_id"), F.col("row_id").alias("later_row_id"))
-            out = got if out is None else out.unionByName(got)
-    return out if out is not None else spark.createDataFrame([], "earlier_row_id bigint, later_row_id bigint")
+        history.ingest(rows.where(F.col("batch_id") == b))
+    return history.turned_away(rows.where("batch_id >= 1"))
