@@ -55,7 +55,12 @@ def pairs(b: pa.RecordBatch, cols: list[str]) -> np.ndarray:
     first = b.column(cols[0]).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     if len(cols) > 1:
         return np.stack([first, b.column(cols[1]).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)], axis=1)
-    u = first.astype(np.uint64)
+    return mixed(first)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Single hashes as pairs."""
+    u = h.astype(np.uint64)
     u = (u ^ (u >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     v = (u ^ (u >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return np.stack([u, v ^ (v >> np.uint64(32))], axis=1).astype(np.int64)

@@ -1,8 +1,8 @@
-"""Where credentials stand in code and configuration: candidates by shape and by context.
+"""Where credentials stand in code and configuration: values by their own shape and by what stands around them.
 
-`candidates(text)` finds values that are credentials by their own shape (keys of known issuers, key blocks, signed
-tokens) or by what stands around them (a name such as ...Password, an option, a login in a URL, a header).
-`usable(value)` tells a value from what only stands for one: masks, hashes, references to a store, identifiers, samples.
+`values(text)` finds what stands in credential places, placeholders and all: keys of known issuers, key blocks, signed
+tokens, and what follows a name such as ...Password, an option, a login in a URL, a header. `structured(value)` tells a
+value that is built like a credential from one that is not: words, masks, hashes, references to a store, identifiers.
 """
 
 from __future__ import annotations
@@ -14,9 +14,10 @@ from typing import NamedTuple
 class Found(NamedTuple):
     start: int
     end: int
+    #: The value, its pieces joined.
     value: str
-    #: True where the value's own shape is proof.
-    structured: bool
+    #: True where the value's own shape is proof, wherever it stands.
+    issued: bool
 
 
 #: Shapes of credentials of known issuers.
@@ -106,10 +107,6 @@ _ATTR = re.compile(rf"([\w:.\-]+)\s*=\s*([{_Q}])((?:(?!\2).)*)\2", re.S)
 _NAMED = re.compile(rf"(?i:{_WORDS})$")
 _BYTES = re.compile(r"(?i:\b\w*(?:key|secret|password|token))\s*=\s*(?:new\s+byte\s*\[\s*\d*\s*\]\s*)?\{\s*(?P<v>(?:0x[0-9A-Fa-f]{1,2}\s*,\s*){7,}0x[0-9A-Fa-f]{1,2})\s*,?\s*\}")
 _MORE = re.compile(rf"[{_Q}]\s*(?:\+|&|\.)\s*[@$]{{0,2}}[{_Q}]([^{_Q}\n]*)")
-#: Words that stand for a credential.
-_STAND_INS = frozenset(
-    "changeme change_me change-me todo tbd fixme none null nil undefined redacted hidden masked removed secret password passwd pwd token apikey api-key string value example sample dummy test testing default empty n/a na xxx yes no true false on off required optional unset your_password yourpassword my_password mypassword placeholder".split()
-)
 _FRAMED = re.compile(r"^(?:<.*>|\[.*\]|\{.*\}|\$\{?\(?.*[)}]|\$\w+|%[\w.\-]+%|#\{.*\}#?|__\w+__|@@?\w+@@?|\(.*\))$", re.S)
 _INNER = re.compile(r"\$\{|\$\(|\{\{|#\{|%\w+%|__[A-Z_]+__|\{\d+\}|<[\w \-]+>")
 _MASK = re.compile(r"[*•●█]{2,}|\.{3,}|…|^[xX*#\-_.0]+$")
@@ -127,15 +124,15 @@ def _words_alone(v: str) -> bool:
     return not humps or sum(map(len, humps)) / len(humps) >= 3.5
 
 
-def usable(value: str | None, named: bool = False) -> bool:
-    """Whether a value could be used as a credential; false for null. `named`: a name says so, then plain hexadecimal is no digest."""
+def structured(value: str | None, named: bool = False) -> bool:
+    """Whether a value is built like a credential; false for null. `named`: a name says so, then plain hexadecimal is no digest."""
     if value is None:
         return False
     v = value.strip()
     if _PEM.search(v):
         return bool(_PEM_BODY.search(v))
     v = _SCHEME.sub("", v)
-    if len(v) < MIN_LENGTH or re.search(r"\s", v) or v.lower() in _STAND_INS or len(set(v)) < 4:
+    if len(v) < MIN_LENGTH or re.search(r"\s", v) or len(set(v)) < 4:
         return False
     if _FRAMED.match(v) or _INNER.search(v) or _MASK.search(v) or _TEXTUAL.search(v) or _DIGEST.match(v) or _GUID.match(v):
         return False
@@ -147,12 +144,14 @@ def usable(value: str | None, named: bool = False) -> bool:
 
 
 def _pem(text: str) -> list[Found]:
+    """Key blocks. One without its end goes to its last line of key material, so that what stands behind it is read."""
     out = []
-    for m in _PEM.finditer(text):
-        end = _PEM_END.search(text, m.end())
-        stop = end.end() if end else len(text)
-        body = text[m.end() : end.start() if end else len(text)]
-        if _PEM_BODY.search(body):
+    starts = list(_PEM.finditer(text))
+    for k, m in enumerate(starts):
+        limit = starts[k + 1].start() if k + 1 < len(starts) else len(text)
+        end = _PEM_END.search(text, m.end(), limit)
+        stop = end.end() if end else max((b.end() for b in _PEM_BODY.finditer(text, m.end(), limit)), default=m.end())
+        if _PEM_BODY.search(text, m.end(), stop):
             out.append(Found(m.start(), stop, text[m.start() : stop], True))
     return out
 
@@ -163,13 +162,13 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
-def candidates(text: str | None) -> list[Found]:
-    """Usable values in order of their first character, none inside another; empty for null."""
+def values(text: str | None) -> list[Found]:
+    """Everything in a credential place, placeholders too, in order of first characters; empty for null."""
     if not text:
         return []
     low = _lower(text)
     found = _pem(text)
-    found += [Found(m.start(), m.end(), m[0], True) for m in _SHAPE.finditer(text) if not _MASK.search(m[0])]
+    found += [Found(m.start(), m.end(), m[0], True) for m in _SHAPE.finditer(text)]
     spans = [(m.start("v"), m.end("v"), m["v"]) for gate, rule in _RULES if any(g in low for g in gate) for m in rule.finditer(text)]
     for w in _NAME_END.finditer(low):
         m = _AFTER_NAME.match(text, w.end())
@@ -195,14 +194,18 @@ def candidates(text: str | None) -> list[Found]:
         while m := _MORE.match(text, at):
             whole += m[1]
             at = m.end()
-        if usable(whole, named=True):
-            if s := _SCHEME.match(value):
-                start += s.end()
+        if s := _SCHEME.match(value):
+            start += s.end()
+        if whole.strip():
             found.append(Found(start, at, whole.strip(), False))
-    found.sort(key=lambda f: (f.start, -f.end))
+    return sorted(found, key=lambda f: (f.start, -f.end))
+
+
+def candidates(text: str | None) -> list[Found]:
+    """The structured ones among `values`, none that starts inside another."""
     out: list[Found] = []
-    for f in found:
-        if out and f.start < out[-1].end:
-            continue
-        out.append(f)
+    for f in values(text):
+        if (f.issued and not _MASK.search(f.value)) or structured(f.value, named=True):
+            if not out or f.start >= out[-1].end:
+                out.append(f)
     return out

@@ -1,14 +1,17 @@
 """Live credentials over a whole corpus: index, suppress, confirm, search again, mask.
 
-1. Every text is read once for values in credential places (`credentials.candidates`). What is found is indexed by value.
-2. A value that many owners show in many different contexts is a placeholder, whatever it looks like, and is suppressed.
-   Copies of one text do not make a placeholder: they share the context.
-3. All other values are confirmed. Every text is searched again for all confirmed values, in any context, by an
-   automaton; it is built for about CHUNK_BYTES of values at a time, the bound of what is broadcast, with one pass over the
-   texts for each chunk. Whole key blocks alone are not searched for: the first reading finds them wherever they stand.
-4. The places of both readings are put out, or the texts with these places masked and all other characters kept.
-
-The working tables in the shared folder hold the values found; that folder needs the same care as the texts themselves.
+1. Every text is read once. All its literals (quoted texts and runs without blanks, quotes and brackets, of `MIN_LENGTH`
+   characters and more) go into an index of hashes with owner and line; what stands in a credential place goes in as it is, too.
+2. Suppress: a value that more than `MAX_OWNERS` owners show anywhere, as a literal of more than `MAX_CONTEXTS` different lines, is
+   a placeholder, whatever it looks like. Copies of one text do not make a placeholder: they share the line. Values whose
+   own shape proves them (keys of known issuers, key blocks) are exempt.
+3. Confirm: of the others, those that stand in a credential place, or in a scanner's excerpt, and are built like a credential.
+4. Search again: every text is read for the confirmed values in any context. A Bloom filter of the values' first words and
+   opening stretches marks texts, which are joined with the values they may hold; an automaton over the values of each
+   batch of texts then finds the places. One pass, whatever the number of values; a task holds the values of its own texts only.
+5. These places, and no others, are put out, or the texts with them masked and all other characters kept.
+
+The working tables hold the values found; they are removed before the result is handed on.
 """
 
 from __future__ import annotations
@@ -17,136 +20,257 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gritmill.llm import bloom
-from gritmill.llm.canon import plain
-from gritmill.llm.credentials import _PEM, _PEM_END, candidates, usable
+from gritmill.llm.credentials import _MASK, MIN_LENGTH, structured, values
 from gritmill.operators.nested import nodes
-from gritmill.session import materialise
+from gritmill.session import discard, materialise_at
 
-#: A value is a placeholder if more than this many owners, and this share of all owners, show it in more than MAX_CONTEXTS contexts.
-MAX_OWNERS, MAX_OWNER_SHARE, MAX_CONTEXTS = 24, 0.05, 12
-CHUNK_BYTES = 4_000_000
-#: A key block with both of its ends, which `candidates` recognises in any context.
-_WHOLE_BLOCK = rf"(?s)^{_PEM.pattern}.*{_PEM_END.pattern}$"
+#: A value is a placeholder if more than so many owners show it in more than so many different lines.
+MAX_OWNERS, MAX_CONTEXTS = 20, 12
+#: A value is looked up by its first word and by its opening stretch of so many words.
+STRETCH = 3
 
-_PLACES = "src string, rec_id bigint, pos string, start int, stop int, value string, owner string, context bigint"
+_INDEX = "h bigint, owner bigint, context bigint, word string, first bigint, anchor bigint, issued boolean, built boolean, src string, rec_id bigint, pos string"
+_NAMES = [c.split()[0] for c in _INDEX.split(", ")]
+_TYPES = [{"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[c.split()[1]] for c in _INDEX.split(", ")]
 _ASSIGNED = re.compile(r"^\s*(?:<|[\"'`]?[A-Za-z_][\w.\-:]*[\"'`]?\s*[:=](?!//))")
+_LITERAL = re.compile(rf"[\"'`]([^\"'`\n]{{{MIN_LENGTH},}})(?=[\"'`])|([^\s\"'`“”‘’<>=;,(){{}}\[\]|&]{{{MIN_LENGTH},}})")
+_RUN = re.compile(r"[^\W_]+")
+#: An option of one letter with its value behind it.
+_GLUED = re.compile(r"(?<![\w\-])-[A-Za-z](?=[^\W_])")
+
+
+def _hash(text: str, seed: int = 0) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), seed) - (1 << 63)
 
 
 def _line(text: str, at: int) -> int:
     return text.count("\n", 0, at) + 1
 
 
-def _context(text: str, start: int, stop: int) -> int:
-    a, b = text.rfind("\n", 0, start) + 1, text.find("\n", stop)
-    return xxhash.xxh64_intdigest(plain(text[a:start]) + "\x00" + plain(text[stop : b if b >= 0 else len(text)])) - (1 << 63)
+def anchors(word: str) -> tuple[int, int] | None:
+    """Hashes of the first run of letters and digits, and of the stretch up to the end of the run STRETCH - 1 behind it."""
+    runs = list(_RUN.finditer(word))
+    if not runs:
+        return None
+    return _hash(runs[0][0]), _hash(word[runs[0].start() : runs[min(STRETCH, len(runs)) - 1].end()], 1)
 
 
 def shown_value(match: str | None) -> str | None:
-    """The value that a scanner's excerpt shows: of an assignment its usable value, else the excerpt itself if it is usable."""
+    """The value that a scanner's excerpt shows: of an assignment what stands in the credential place, else the excerpt itself."""
     if not match:
         return None
-    found = candidates(match)
+    found = values(match)
+    built = [f for f in found if _built(f.value, f.issued)]
     if found:
-        return found[0].value
-    return match.strip() if not _ASSIGNED.match(match) and usable(match) else None
+        return (built or found)[0].value
+    return match.strip() if not _ASSIGNED.match(match) and structured(match) else None
+
+
+def _built(value: str, issued: bool, named: bool = True) -> bool:
+    return (issued and not _MASK.search(value)) or structured(value, named)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64())
-    names = ["src", "rec_id", "pos", "start", "stop", "value", "owner", "context"]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES)], names=_NAMES)
 
 
 def _read_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = []
-        for rec_id, owner, text in zip(*(c.to_pylist() for c in b.columns)):
-            for f in candidates(text):
-                rows.append(("report", rec_id, str(_line(text, f.start)), f.start, f.end, f.value, owner, _context(text, f.start, f.end)))
-        yield _batch(rows)
-
+        shown: dict[tuple[int, int], int] = {}
+        words: dict[str, tuple] = {}
+        for owner, text in zip(*(c.to_pylist() for c in b.columns)):
+            if not text:
+                continue
+            who = _hash(owner) if owner is not None else 0
+            for line in text.split("\n"):
+                literals = _LITERAL.findall(line)
+                if literals:
+                    context = _hash(line.strip())
+                    for quoted, bare in literals:
+                        shown.setdefault((_hash((quoted or bare).strip()), who), context)
+            for f in values(text):
+                h = _hash(f.value)
+                a = text.rfind("\n", 0, f.start) + 1
+                shown.setdefault((h, who), _hash(text[a : max(f.end, a + 200)].split("\n")[0].strip()))
+                for w in {f.value, text[f.start : f.end].strip()}:
+                    if w not in words and (at := anchors(w)):
+                        words[w] = (h, None, None, w, *at, f.issued, _built(f.value, f.issued), None, None, None)
+        yield _batch([(h, who, c, *[None] * 8) for (h, who), c in shown.items()] + list(words.values()))
+
+
+def _read_shown(src: str, extract):
+    """What a scanner shows: its value as one of a credential place, with the place of its own."""
 
-def _read_values(src: str, extract):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for rec_id, owner, pos, shown in zip(*(c.to_pylist() for c in b.columns)):
-                if (v := extract(shown)) is not None:
-                    rows.append((src, rec_id, pos, None, None, v, owner, xxhash.xxh64_intdigest(f"{rec_id}/{pos}") - (1 << 63)))
+                v = extract(shown)
+                if v is None or not (at := anchors(v)):
+                    continue
+                h, named = _hash(v), src == "trivy"
+                rows.append((h, _hash(owner) if owner is not None else 0, _hash(shown.strip()), v, *at, False, _built(v, False, named), src, rec_id, pos))
             yield _batch(rows)
 
     return run
 
 
-def candidate_places(report: DataFrame, gitleaks: DataFrame, trivy: DataFrame) -> DataFrame:
-    """The index: every usable value with its place, owner (repo) and context. Rows without an id are left out."""
-    texts = report.select("row_id", "repo", F.col("evidence.snippet")).where("row_id IS NOT NULL").mapInArrow(_read_texts, _PLACES)
+def literal_index(report: DataFrame, gitleaks: DataFrame, trivy: DataFrame) -> DataFrame:
+    """Step 1: every literal of every text as (h, owner, context), and what stands in credential places with its value. Rows without an id are left out."""
+    texts = report.where("row_id IS NOT NULL").select("repo", F.col("evidence.snippet")).mapInArrow(_read_texts, _INDEX)
     g = nodes(gitleaks, ["delivery_id", "repo"], ["runs", "results"], {"shown": F.col("__el.partialFingerprints")["secret"]})
-    g = g.where("delivery_id IS NOT NULL").select("delivery_id", "repo", "node", "shown").mapInArrow(_read_values("gitleaks", lambda v: v if usable(v) else None), _PLACES)
+    g = g.where("delivery_id IS NOT NULL").select("delivery_id", "repo", "node", "shown").mapInArrow(_read_shown("gitleaks", lambda v: v.strip() if v else None), _INDEX)
     t = nodes(trivy, ["delivery_id", "repo"], ["Results", "Secrets"], {"shown": "Match"})
-    t = t.where("delivery_id IS NOT NULL").select("delivery_id", "repo", "node", "shown").mapInArrow(_read_values("trivy", shown_value), _PLACES)
+    t = t.where("delivery_id IS NOT NULL").select("delivery_id", "repo", "node", "shown").mapInArrow(_read_shown("trivy", shown_value), _INDEX)
     return texts.unionByName(g).unionByName(t)
 
 
-def _search(words: list[str]):
-    automaton = ahocorasick.Automaton()
-    for w in words:
-        automaton.add_word(w, len(w))
-    automaton.make_automaton()
-    return automaton
+def judged(index: DataFrame) -> DataFrame:
+    """Steps 2 and 3: ``(h, word, first, anchor, owners, contexts, issued, placeholder, confirmed)`` of everything in a credential place."""
+    words = index.where("word IS NOT NULL").groupBy("h", "word").agg(F.first("first").alias("first"), F.first("anchor").alias("anchor"), F.bool_or("issued").alias("issued"), F.bool_or("built").alias("built"))
+    of_owner = index.where("owner IS NOT NULL").join(words.select("h").distinct(), "h", "left_semi").groupBy("h", "owner").agg(F.min("context").alias("context"))
+    counts = of_owner.groupBy("h").agg(F.count("*").alias("owners"), F.count_distinct("context").alias("contexts"))
+    out = words.join(counts, "h", "left").withColumn("placeholder", F.expr(f"NOT issued AND owners > {MAX_OWNERS} AND contexts > {MAX_CONTEXTS}"))
+    return out.withColumn("confirmed", F.expr("built AND NOT placeholder"))
 
 
-def _again(shared):
-    """Places of confirmed values as whole tokens."""
+def _marked(f: bloom.Filter):
+    """Texts that may hold a confirmed value, with the hashes of the stretches that the filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _search(shared.value)
+        bitmap = f.load()
+        known: dict[str, int] = {}
+
+        def of(runs: list[str]) -> list[int]:
+            if len(known) > 300_000:  # bounds the worker's memory
+                known.clear()
+            out = []
+            for r in runs:
+                h = known.get(r)
+                if h is None:
+                    h = known[r] = _hash(r)
+                out.append(h)
+            return out
+
+        def inside(hashes: list[int]) -> np.ndarray:
+            return bloom.contains(bitmap, bloom.mixed(np.array(hashes, np.int64)), f.bits)
+
         for b in batches:
+            ids, texts = (c.to_pylist() for c in b.columns)
+            firsts, owner = [], []
+            for i, text in enumerate(texts):
+                if text:
+                    hs = of(_RUN.findall(text))
+                    if "-" in text:
+                        hs += [_hash(_RUN.match(text, m.end())[0]) for m in _GLUED.finditer(text)]
+                    firsts += hs
+                    owner += [i] * len(hs)
+            if not firsts:
+                continue
             rows = []
-            for rec_id, text in zip(*(c.to_pylist() for c in b.columns)):
-                if not text:
-                    continue
-                for last, n in automaton.iter(text):
-                    start, stop = last - n + 1, last + 1
-                    if (start == 0 or not text[start - 1].isalnum()) and (stop == len(text) or not text[stop].isalnum()):
-                        rows.append(("report", rec_id, str(_line(text, start)), start, stop, None, None, None))
-            yield _batch(rows)
+            for i in np.unique(np.array(owner)[inside(firsts)]):
+                text = texts[i]
+                runs = list(_RUN.finditer(text))
+                ends = [m.end() for m in runs]
+                starts = [(m.start(), k) for k, m in enumerate(runs)]
+                starts += [(m.end(), k) for m in _GLUED.finditer(text) for k in [int(np.searchsorted(ends, m.end(), side="right"))]]
+                ok = inside([_hash(text[s : ends[k]]) for s, k in starts])
+                stretches = sorted({_hash(text[s : ends[j]], 1) for (s, k), o in zip(starts, ok) if o for j in range(k, min(k + STRETCH, len(ends)))})
+                if stretches and (keep := inside(stretches)).any():
+                    rows.append((ids[i], text, [h for h, o in zip(stretches, keep) if o]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["row_id", "text", "anchors"])
 
     return run
 
 
-def live_places(report: DataFrame, gitleaks: DataFrame, trivy: DataFrame) -> DataFrame:
-    """``(src, rec_id, pos, start, stop)`` of every live credential; places may repeat. Empty tables give no rows."""
-    spark = report.sparkSession
-    index = materialise(candidate_places(report, gitleaks, trivy), "secrets-index")
-    owners = index.select("owner").distinct().count()
-    by_value = index.groupBy("value").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("context").alias("contexts"))
-    wide = (F.col("owners") > max(MAX_OWNERS, MAX_OWNER_SHARE * owners)) & (F.col("contexts") > MAX_CONTEXTS)
-    judged = materialise(by_value.select("value", wide.alias("placeholder")), "secrets-values")
-    places = index.join(judged.where("placeholder").select("value"), "value", "left_anti")
-    out = places.select("src", "rec_id", "pos", "start", "stop")
-    searched = judged.where(~F.col("placeholder") & ~F.col("value").rlike(_WHOLE_BLOCK)).select("value")
-    n_bytes = searched.agg(F.coalesce(F.sum(F.octet_length("value")), F.lit(0))).first()[0]
-    chunks = -(-n_bytes // CHUNK_BYTES)
-    texts = report.select("row_id", F.col("evidence.snippet")).where("row_id IS NOT NULL")
-    for c in range(chunks):
-        words = [r.value for r in searched.where(F.pmod(F.xxhash64("value"), F.lit(chunks)) == c).collect()]  # about CHUNK_BYTES
-        if not words:
-            continue
-        shared = spark.sparkContext.broadcast(words)
-        out = out.unionByName(texts.mapInArrow(_again(shared), _PLACES).select("src", "rec_id", "pos", "start", "stop"))
+def hits(text: str, automaton) -> list[tuple[int, int]]:
+    """Places of the automaton's values as whole tokens, none that starts inside another."""
+    spans = []
+    for last, n in automaton.iter(text):
+        start, stop = last - n + 1, last + 1
+        left = start == 0 or not text[start - 1].isalnum() or bool(start > 1 and _GLUED.match(text, start - 2))
+        if left and (stop == len(text) or not text[stop].isalnum()):
+            spans.append((start, stop))
+    out: list[tuple[int, int]] = []
+    for a, z in sorted(spans, key=lambda s: (s[0], -s[1])):
+        if not out or a >= out[-1][1]:
+            out.append((a, z))
     return out
 
 
+def _searched(emit, names: list[str], types: list[pa.DataType]):
+    """`emit(row_id, text, spans)` over texts given with the values they may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, texts, words = (c.to_pylist() for c in b.columns)
+            automaton = ahocorasick.Automaton()
+            for w in {w for ws in words for w in ws}:
+                automaton.add_word(w, len(w))
+            automaton.make_automaton()
+            rows = [r for i, t in zip(ids, texts) if (spans := hits(t, automaton)) for r in emit(i, t, spans)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
+
+    return run
+
+
+class Search:
+    """Steps 1 to 4. `result` writes what is asked for; `close` removes all tables that hold values."""
+
+    def __init__(self, report: DataFrame, gitleaks: DataFrame, trivy: DataFrame) -> None:
+        self.spark, self.report, self.at = report.sparkSession, report, []
+        self.index = self._keep(literal_index(report, gitleaks, trivy), "secrets-index")
+        self.judged = self._keep(judged(self.index), "secrets-values")
+        self.confirmed = self.judged.where("confirmed")
+
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        df, at = materialise_at(df, name)
+        self.at.append(at)
+        return df
+
+    def shown_places(self) -> DataFrame:
+        """``(src, rec_id, pos)`` of what scanners show, if the value is confirmed and built like one there."""
+        own = self.index.where("src IS NOT NULL AND built")
+        return own.join(self.confirmed.select("h").distinct(), "h", "left_semi").select("src", "rec_id", "pos")
+
+    def texts(self) -> DataFrame:
+        """``(row_id, text, words)`` of every text that may hold confirmed values, with these values. Rows that repeat an id stay apart."""
+        n = self.confirmed.count()
+        f = bloom.merged(self.confirmed.select(F.explode(F.array("first", "anchor")).alias("k")), ["k"], 2 * n, repeated=False)
+        rows = self.report.where("row_id IS NOT NULL").select("row_id", F.col("evidence.snippet"))
+        marked = rows.mapInArrow(_marked(f), "row_id bigint, text string, anchors array<bigint>")
+        marked = self._keep(marked.withColumn("uid", F.monotonically_increasing_id()), "secrets-marked")
+        own = marked.select("uid", F.explode("anchors").alias("anchor")).join(self.confirmed.select("anchor", "word"), "anchor")
+        own = own.groupBy("uid").agg(F.collect_set("word").alias("words"))  # values of one text
+        return marked.join(own, "uid").select("row_id", "text", "words")
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        return materialise_at(df, name)[0]
+
+    def close(self) -> None:
+        discard(self.spark, *self.at)
+
+
 def found_places(report: DataFrame, gitleaks: DataFrame, trivy: DataFrame) -> DataFrame:
-    """``(src, rec_id, pos)``, each place once."""
-    return live_places(report, gitleaks, trivy).select("src", "rec_id", "pos").distinct()
+    """``(src, rec_id, pos)`` of every live credential, each place once. Empty tables give no rows."""
+
+    def emit(i: int, text: str, spans: list[tuple[int, int]]) -> list[tuple]:
+        return [("report", i, p) for p in {str(_line(text, a)) for a, _ in spans}]
+
+    search = Search(report, gitleaks, trivy)
+    try:
+        schema = ["src", "rec_id", "pos"], [pa.string(), pa.int64(), pa.string()]
+        places = search.texts().mapInArrow(_searched(emit, *schema), "src string, rec_id bigint, pos string")
+        return search.result(places.unionByName(search.shown_places()).distinct(), "secrets-places")
+    finally:
+        search.close()
 
 
 _HEX_PAIR = re.compile(r"0x[0-9A-Fa-f]{1,2}")
@@ -182,18 +306,15 @@ def mask(text: str, spans: list[tuple[int, int]]) -> str:
 def masked_snippets(report: DataFrame, gitleaks: DataFrame, trivy: DataFrame) -> DataFrame:
     """``(row_id, n_places, masked)`` of every snippet with a live credential; all other text is as it was.
 
-    A row id that occurs repeatedly has its places masked in the texts they were found in alone.
+    Rows that repeat an id are masked each in its own text.
     """
-    spans = live_places(report, gitleaks, trivy).where("src = 'report'").select("rec_id", "start", "stop").distinct()
-    spans = materialise(spans.groupBy("rec_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "secrets-spans")
-    f = bloom.merged(spans, ["rec_id"], spans.count(), repeated=False)
-    texts = bloom.within(report.select("row_id", F.col("evidence.snippet").alias("snippet")).where("row_id IS NOT NULL"), "row_id", f)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, texts, lists = (c.to_pylist() for c in b.columns)
-            rows = [(i, len(s), mask(t, [(x["start"], x["stop"]) for x in s])) for i, t, s in zip(ids, texts, lists) if t]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.string()))], names=["row_id", "n_places", "masked"])
+    def emit(i: int, text: str, spans: list[tuple[int, int]]) -> list[tuple]:
+        return [(i, len(spans), mask(text, spans))]
 
-    joined = texts.join(spans, texts.row_id == spans.rec_id).select("row_id", "snippet", "spans")
-    return joined.mapInArrow(run, "row_id bigint, n_places int, masked string")
+    search = Search(report, gitleaks, trivy)
+    try:
+        schema = ["row_id", "n_places", "masked"], [pa.int64(), pa.int32(), pa.string()]
+        return search.result(search.texts().mapInArrow(_searched(emit, *schema), "row_id bigint, n_places int, masked string"), "secrets-masked")
+    finally:
+        search.close()
