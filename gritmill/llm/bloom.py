@@ -2,7 +2,8 @@
 
 ``once = a | b`` and ``repeated = ra | rb | (a & b)`` form a commutative monoid, so the merge is a grouped fold.
 A partition sends the positions it set, sorted and delta-coded; a merged segment is 512 KB. The whole filter is at
-most `MAX_BITS` (128 MB): with more keys it gets less selective, never wrong, for there are no false negatives.
+most `MAX_BITS` (128 MB): with more keys it would get less selective, never wrong, for there are no false negatives; who
+has more keys takes several filters (see `formdup`).
 """
 
 from __future__ import annotations

@@ -7,8 +7,9 @@
 3. Only records whose bits are all in `repeated` can have a copy. They alone are shuffled and grouped exactly by
    hash; all others are singletons and are put out where they stand.
 
-A false positive of the filter costs a shuffled row, never a wrong result. The filter's size has a fixed bound
-(see `bloom`); beyond it the filter only gets less selective.
+A false positive of the filter costs a shuffled row, never a wrong result. Beyond `SHARD_KEYS` records the hashes are
+written in shards of the hash space, without a shuffle, and each shard has filters of its own, one after the other: bits grow
+with the records, while a task and the driver hold the filter of one shard.
 """
 
 from __future__ import annotations
@@ -23,7 +24,10 @@ from pyspark.sql import functions as F
 
 from gritmill.llm import bloom
 from gritmill.llm.canon import record_key
-from gritmill.session import materialise
+from gritmill.session import discard, fresh_path, materialise
+
+#: As many as fill a filter of `bloom.MAX_BITS` at `bloom.BITS_PER_KEY`.
+SHARD_KEYS = bloom.MAX_BITS // bloom.BITS_PER_KEY
 
 _KEYS = "row_id bigint, h1 bigint, h2 bigint"
 
@@ -43,10 +47,24 @@ def canonical_hashes(report: DataFrame) -> DataFrame:
     return report.select("row_id", F.col("evidence.snippet"), F.col("location.file"), "title").mapInArrow(_hash_rows, _KEYS)
 
 
-def possible_repeats(keys: DataFrame) -> DataFrame:
-    """`keys` with ``maybe``: false for rows that certainly have no copy (and for those without a hash)."""
-    n = keys.where("h1 IS NOT NULL").count()
-    return bloom.flagged(keys, ["h1", "h2"], bloom.merged(keys, ["h1", "h2"], n, repeated=True), "maybe")
+def possible_repeats(report: DataFrame) -> DataFrame:
+    """The hashes of all rows with ``maybe``: false for rows that certainly have no copy (and for those without a hash)."""
+    spark = report.sparkSession
+    shards = max(1, -(-report.count() // SHARD_KEYS))
+    cols = ["h1", "h2"]
+    if shards == 1:
+        keys = materialise(canonical_hashes(report), "formdup-keys")
+        return bloom.flagged(keys, cols, bloom.merged(keys, cols, keys.where("h1 IS NOT NULL").count(), repeated=True), "maybe")
+    path, out = fresh_path(spark, "formdup-keys"), fresh_path(spark, "formdup-flagged")
+    canonical_hashes(report).withColumn("shard", F.pmod(F.xxhash64(F.lit(3), "h1"), F.lit(shards)).cast("int")).write.partitionBy("shard").parquet(path)
+    rows = spark.read.schema(f"{_KEYS}, shard int").parquet(path)
+    for k in range(shards):
+        keys = rows.where(F.col("shard") == k).drop("shard")
+        f = bloom.merged(keys, cols, keys.where("h1 IS NOT NULL").count(), repeated=True)
+        bloom.flagged(keys, cols, f, "maybe").write.mode("append").parquet(out)
+        f.segments.destroy()
+    discard(spark, path)
+    return spark.read.schema(f"{_KEYS}, maybe boolean").parquet(out)
 
 
 def _groups(flagged: DataFrame) -> DataFrame:
@@ -60,7 +78,7 @@ def form_duplicates(report: DataFrame) -> DataFrame:
     table gives no rows. Further columns are never read. The largest group is pre-aggregated before the shuffle;
     its copies come back by a join that the planner splits where the group is hot.
     """
-    flagged = possible_repeats(materialise(canonical_hashes(report), "formdup-keys"))
+    flagged = possible_repeats(report)
     first = _groups(flagged).where("copies > 1")
     rows = flagged.where("maybe").select("h1", "h2", F.col("row_id").alias("copy_row_id"))
     return rows.join(first, ["h1", "h2"]).where("copy_row_id > first_row_id").select("first_row_id", "copy_row_id")
@@ -68,6 +86,6 @@ def form_duplicates(report: DataFrame) -> DataFrame:
 
 def collapsed_records(report: DataFrame) -> DataFrame:
     """``(first_row_id, copies)``: one row for each record after collapsing; rows that are never cases stand alone with 1 copy."""
-    flagged = possible_repeats(materialise(canonical_hashes(report), "formdup-keys"))
+    flagged = possible_repeats(report)
     single = flagged.where("NOT maybe").select(F.col("row_id").alias("first_row_id"), F.lit(1).cast("bigint").alias("copies"))
     return single.unionByName(_groups(flagged).select("first_row_id", "copies"))

@@ -3,8 +3,9 @@
 1. Each document's prose (`prose.read_prose`) becomes word counts and the sentence length in which the middle one of its
    words stands. Texts are read once; the counts are written, not the words.
 2. Words are ranked by frequency over all documents of a language. Words of one count share the last of their places, so
-   at most RANKED words have a place up to RANKED: the bound of what is broadcast. Rarer words share the place behind.
-3. A document's coverage rank at a share is the smallest vocabulary, by rank, that covers this share of its words.
+   at most RANKED words have a place up to RANKED: the bound of what is broadcast.
+3. A document's coverage rank at a share is the smallest vocabulary, by rank, that covers this share of its words. Where
+   the broadcast ranks do not cover the share, the places of the document's rarer words come by a join, so every rank is exact.
 4. Graded documents calibrate the features: class means and common covariance come from sums that SQL takes over all grades;
    the linear scores of the three levels go back into SQL. A language with too few grades of a level uses all languages.
 """
@@ -76,41 +77,73 @@ def prose_counts(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("bigint"), docs["text"]).mapInArrow(_count, _COUNTS)
 
 
-def word_ranks(counts: DataFrame) -> DataFrame:
-    """``(lang, word, place)`` of the words with a place up to RANKED."""
-    n = counts.select("lang", F.explode(F.arrays_zip("words", "times")).alias("z")).groupBy("lang", F.col("z.words").alias("word")).agg(F.sum("z.times").alias("n"))
-    n = materialise(n, "levels-words")
+def word_counts(counts: DataFrame) -> DataFrame:
+    """``(lang, word, n)`` over all documents."""
+    z = counts.select("lang", F.explode(F.arrays_zip("words", "times")).alias("z"))
+    return z.groupBy("lang", F.col("z.words").alias("word")).agg(F.sum("z.times").alias("n"))
+
+
+def word_ranks(n: DataFrame) -> DataFrame:
+    """``(lang, word, place)`` of all words; words of one count share the last of their places."""
     w = Window.partitionBy("lang").orderBy(F.desc("n"))
-    places = n.groupBy("lang", "n").count().withColumn("place", F.sum("count").over(w)).where(F.col("place") <= RANKED)
-    return n.join(places.select("lang", "n", "place"), ["lang", "n"]).select("lang", "word", F.col("place").cast("int").alias("place"))
+    places = n.groupBy("lang", "n").count().withColumn("place", F.sum("count").over(w))  # as many rows as there are different counts
+    return n.join(places.select("lang", "n", "place"), ["lang", "n"]).select("lang", "word", "place")
 
 
 def coverage_features(counts: DataFrame) -> DataFrame:
     """``(doc_id, lang, n_words, *FEATURES)``; the coverage ranks as logarithms."""
     ranks: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    rows = word_ranks(counts).toPandas()  # RANKED rows a language at most
+    placed = word_ranks(materialise(word_counts(counts), "levels-words"))
+    rows = placed.where(F.col("place") <= RANKED).toPandas()  # RANKED rows a language at most
     for lang, g in rows.groupby("lang"):
         o = np.argsort(g.word.to_numpy())
-        ranks[lang] = g.word.to_numpy()[o], g.place.to_numpy()[o]
+        ranks[lang] = g.word.to_numpy(np.int32)[o], g.place.to_numpy(np.int64)[o]
     shared = counts.sparkSession.sparkContext.broadcast(ranks)
+    ks = FEATURES[: len(SHARES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = shared.value
+        none = np.zeros(0, np.int32), np.zeros(0, np.int64)
         for b in batches:
             lang = b.column("lang").to_pylist()
-            out = np.zeros((len(lang), len(SHARES)))
+            out = np.full((len(lang), len(SHARES)), np.nan)
+            ahead, rare, times = [], [], []
             for i in range(len(lang)):
                 w, t = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("words", "times"))
-                known, place = places[lang[i]]
+                known, place = places.get(lang[i], none)
                 at = np.minimum(np.searchsorted(known, w), len(known) - 1) if len(known) else np.zeros(len(w), int)
-                p = np.where(known[at] == w, place[at], RANKED + 1) if len(known) else np.full(len(w), RANKED + 1)
+                hit = known[at] == w if len(known) else np.zeros(len(w), bool)
+                p, n = place[at[hit]] if len(known) else place, t[hit]
                 o = np.argsort(p, kind="stable")
-                covered = np.cumsum(t[o])
-                out[i] = p[o][np.searchsorted(covered, [s * covered[-1] for s in SHARES])]
-            cols = [pa.array(np.log(out[:, k])) for k in range(len(SHARES))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), b.column("n_words"), *cols, pa.array(np.log(b.column("sentence").to_numpy(zero_copy_only=False)))], names=["doc_id", "lang", "n_words", *FEATURES])
-
-    return counts.mapInArrow(run, "doc_id bigint, lang string, n_words int, " + ", ".join(f"{f} double" for f in FEATURES))
+                covered = np.cumsum(n[o])
+                first = np.searchsorted(covered, [s * t.sum() for s in SHARES])
+                inside = first < len(covered)
+                out[i, inside] = np.log(p[o][first[inside]])
+                ahead.append(int(n.sum()))
+                rare.append([] if inside.all() else w[~hit].tolist())
+                times.append([] if inside.all() else t[~hit].tolist())
+            cols = [pa.array(out[:, k], mask=np.isnan(out[:, k])) for k in range(len(SHARES))]
+            sentence = pa.array(np.log(b.column("sentence").to_numpy(zero_copy_only=False)))
+            lists = pa.array(ahead, pa.int64()), pa.array(rare, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "lang", "n_words")), *cols, sentence, *lists], names=["doc_id", "lang", "n_words", *FEATURES, "ahead", "rare", "times"])
+
+    ddl = "doc_id bigint, lang string, n_words int, " + ", ".join(f"{f} double" for f in FEATURES)
+    first = materialise(counts.mapInArrow(run, f"{ddl}, ahead bigint, rare array<int>, times array<int>"), "levels-ranked")
+    cols = ["doc_id", "lang", "n_words", *FEATURES]
+    behind = first.where(f"{ks[-1]} IS NULL")
+    if behind.isEmpty():
+        return first.select(cols)
+    # the documents that the broadcast ranks do not cover: the places of their rarer words, a list for each document
+    behind = materialise(behind.withColumn("uid", F.monotonically_increasing_id()), "levels-behind")
+    words = behind.select("uid", "lang", F.explode(F.arrays_zip("rare", "times")).alias("z")).select("uid", "lang", F.col("z.rare").alias("word"), F.col("z.times").alias("t"))
+    lists = words.join(placed, ["lang", "word"]).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("place", "t"))).alias("l"), F.sum("t").alias("rest"))
+
+    def exact(k: str, share: float):
+        step = f"(a, x) -> named_struct('c', a.c + x.t, 'p', if(a.p IS NULL AND a.c + x.t >= {share}D * (ahead + rest), x.place, a.p))"
+        return F.coalesce(k, F.log(F.expr(f"aggregate(l, named_struct('c', ahead, 'p', cast(NULL AS bigint)), {step}).p"))).alias(k)
+
+    solved = behind.join(lists, "uid").select("doc_id", "lang", "n_words", *(exact(k, s) for k, s in zip(ks, SHARES)), "sentence")
+    return first.where(f"{ks[-1]} IS NOT NULL").select(cols).unionByName(solved)
 
 
 class Sums:

@@ -4,8 +4,10 @@
    source that runs out first at its capped number of repeats; it is cut into seats of BLOCK tokens.
 2. Seats go to sources by the highest quotients share / (2 k + 1); no source gets more than its tokens times its cap.
    The result of that many single rounds is found at once, by the multiplier at which the rounded shares add up.
-3. Each source's seats go to its shards in the same way, by their tokens. A shard is a hash class of documents, as many
-   of them as keep one at about SHARD_TOKENS, so no source is ever ordered in one task.
+3. Each source is cut into shards of its own, hash classes of documents of about SHARD_TOKENS tokens, so no source is ever
+   ordered in one task and none has shards smaller than its size gives. Its seats go to the shards by highest quotients
+   too, in SQL: bounds of the multiplier leave about two quotients a shard to be ranked. Only sums of whole sources come to
+   the driver.
 4. In a shard documents stand in a seeded order, cut into blocks by their running token count. Every block is used as often
    as the seats allow for all, and the first ones once more; a document counts to the block in which its middle stands.
 """
@@ -62,23 +64,39 @@ def apportion(weights: dict, seats: int, caps: dict | None = None) -> dict:
     return {k: got.get(k, 0) for k in weights}
 
 
-def plan(targets: dict[str, tuple[float, int]], shards: dict[str, dict[int, int]], block: int = BLOCK, total_tokens: int | None = None) -> dict[tuple[str, int], int]:
-    """Seats of each (source, shard). `targets`: share and cap of each source; `shards`: tokens of each shard of each source.
+def plan(targets: dict[str, tuple[float, int]], have: dict[str, int], block: int = BLOCK, total_tokens: int | None = None) -> dict[str, int]:
+    """Seats of each source. `targets`: share and cap of each source; `have`: its tokens.
 
     Shares of sources without tokens fall to the others in proportion. `total_tokens` asks for a smaller mixture.
     """
-    have = {s: sum(shards.get(s, {}).values()) for s in targets}
-    weights = {s: targets[s][0] for s in targets if targets[s][0] > 0 and have[s] > 0 and targets[s][1] > 0}
+    weights = {s: targets[s][0] for s in targets if targets[s][0] > 0 and have.get(s, 0) > 0 and targets[s][1] > 0}
     if not weights:
         return {}
     caps = {s: have[s] * targets[s][1] // block for s in weights}
     most = min(have[s] * targets[s][1] * sum(weights.values()) / weights[s] for s in weights)
     seats = int(min(most, total_tokens if total_tokens is not None else most)) // block
-    out = {}
-    for s, q in apportion(weights, seats, caps).items():
-        for k, n in apportion(shards[s], q, {k: math.ceil(t * targets[s][1] / block) for k, t in shards[s].items()}).items():
-            out[s, k] = n
-    return out
+    return apportion(weights, seats, caps)
+
+
+def shard_seats(shards: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``(source, shard, shard_total, seats, cap)``: Sainte-Lague of each source's seats over its shards.
+
+    `shards` has ``(source, shard, shard_total)`` and of the source ``(q, cap)``. With n shards of T tokens together
+    the multiplier lies between (q - n / 2) / T and, but for shards far below the mean, (q + n) / T: the seats that the
+    lower bound gives are certain, and the quotients up to the upper one are ranked, about two a shard. A shard has at
+    most its tokens times the cap.
+    """
+    whole = Window.partitionBy("source")
+    s = shards.withColumn("t", F.sum("shard_total").over(whole)).withColumn("n", F.count("*").over(whole))
+    s = s.withColumn("top", F.ceil(F.col("shard_total") * F.col("cap") / block))
+    s = s.withColumn("base", F.expr("least(top, greatest(0, floor(shard_total * (q - n / 2) / t + 0.5D)))"))
+    s = s.withColumn("high", F.expr("least(top, greatest(floor(shard_total * (q + n) / t + 0.5D) + 1, ceil(shard_total * q / t)))"))
+    s = s.withColumn("left", F.col("q") - F.sum("base").over(whole))
+    seat = s.where("high > base").withColumn("seat", F.explode(F.expr("sequence(base, high - 1)")))
+    ranked = Window.partitionBy("source").orderBy(F.desc(F.col("shard_total") / (2 * F.col("seat") + 1)), "shard")
+    won = seat.withColumn("place", F.row_number().over(ranked)).where("place <= left").groupBy("source", "shard").agg(F.count("*").alias("won"))
+    out = s.join(won, ["source", "shard"], "left").withColumn("seats", F.col("base") + F.coalesce("won", F.lit(0)))
+    return out.select("source", "shard", "shard_total", "seats", "cap").where("seats > 0")
 
 
 def mix(docs: DataFrame, targets: DataFrame, path: str | None = None, block: int = BLOCK, shard_tokens: int = SHARD_TOKENS, seed: int = SEED, total_tokens: int | None = None) -> DataFrame:
@@ -95,15 +113,13 @@ def mix(docs: DataFrame, targets: DataFrame, path: str | None = None, block: int
             listed[r.s] = (r.target_share or 0.0, r.max_repeat or 0)
     named = docs.select("doc_id", "text", source_name(F.col("source")).alias("source")).where(F.col("source").isin(*listed) if listed else F.lit(False))
     sizes = materialise(token_counts(named, path, keep=["source"]).where("n_tokens > 0"), "mixing-sizes")
-    whole = sizes.agg(F.sum("n_tokens")).first()[0] or 0
-    n_shards = max(1, math.ceil(whole / shard_tokens))
+    have = {r.source: r.n for r in sizes.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}  # one row a listed source
+    of = [(s, q, listed[s][1], max(1, math.ceil(have[s] / shard_tokens))) for s, q in plan(listed, have, block, total_tokens).items() if q]
+    of = F.broadcast(spark.createDataFrame(of, "source string, q bigint, cap int, n_shards bigint"))  # one row a listed source
     order = F.xxhash64(F.lit(seed), "doc_id")
-    sizes = sizes.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(n_shards)).cast("int"))
-    shards: dict[str, dict[int, int]] = {}
-    for r in sizes.groupBy("source", "shard").agg(F.sum("n_tokens").alias("n")).collect():  # one row for each SHARD_TOKENS tokens, and one a source
-        shards.setdefault(r.source, {})[r.shard] = r.n
-    seats = [(s, k, shards[s][k], n, listed[s][1]) for (s, k), n in plan(listed, shards, block, total_tokens).items() if n]
-    quota = spark.createDataFrame(seats, "source string, shard int, shard_total bigint, seats bigint, cap int")
+    sizes = sizes.join(of, "source").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), "n_shards").cast("int"))
+    quota = shard_seats(sizes.groupBy("source", "shard", "q", "cap").agg(F.sum("n_tokens").alias("shard_total")), block)
+    sizes = sizes.drop("q", "cap", "n_shards")
     w = Window.partitionBy("source", "shard").orderBy(order, "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     placed = sizes.join(quota, ["source", "shard"]).withColumn("middle", F.coalesce(F.sum("n_tokens").over(w), F.lit(0)) + F.col("n_tokens") / 2)
     wanted = F.col("seats") * F.lit(block)

@@ -20,6 +20,7 @@ FUNCTION_WORDS = {
 MIN_WORDS, MIN_SHARE, MAX_CODE = 50, 0.08, 0.4
 
 _FENCE = re.compile(r"(?ms)^\s*```.*?(?:^\s*```\s*?$|\Z)")
+_HEADING = re.compile(r"(?m)^[ \t]*#{1,6}[ \t][^\n]*$")
 _BREAK = re.compile(r"\n\s*\n|\n\s*(?:[-*•+]|\d+[.)])\s+|\n(?=#)")
 _END = re.compile(r"(?<=[.!?…])[\"')\]»”]*\s+")
 _TOKEN = re.compile(r"[^\s]+")
@@ -49,6 +50,7 @@ def read_prose(text: str | None) -> Prose:
     if not text:
         return Prose(None, 0, [])
     body = _FENCE.sub("\n\n", text.replace("\r\n", "\n").replace("\r", "\n"))
+    body = _HEADING.sub("\n", body)
     sentences = []
     for block in _BREAK.split("\n" + body):
         block = block.strip()

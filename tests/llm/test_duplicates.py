@@ -7,7 +7,7 @@ from types import SimpleNamespace
 import numpy as np
 import pyarrow as pa
 import pytest
-from gritmill.llm import bloom, history
+from gritmill.llm import bloom, formdup, history
 from gritmill.llm.canon import canonical, record_key, withheld
 from gritmill.llm.formdup import collapsed_records, form_duplicates
 from gritmill.llm.history import SIMILAR, History, repeats_of_history, sketches
@@ -63,6 +63,28 @@ def test_form_duplicates(spark):
     assert {tuple(r) for r in collapsed_records(df).collect()} == {(min(g), len(g)) for g in groups.values()}
 
 
+def test_filters_of_shards(spark, monkeypatch):
+    """Beyond one filter's keys the hash space is cut: the same sets, and as few singletons shuffled as before."""
+    rows = [(i, 0, f"unique text {i}", None, None) for i in range(4000)] + [(9000 + i, 0, f"twice {i % 50}", None, None) for i in range(100)]
+    df = _report(spark, rows)
+    want = sorted((9000 + i, 9050 + i) for i in range(50))
+    shares = []
+    for keys in (10**9, 1024):
+        monkeypatch.setattr(formdup, "SHARD_KEYS", keys)
+        assert sorted(tuple(r) for r in form_duplicates(df).collect()) == want
+        shares.append(formdup.possible_repeats(df).where("maybe AND row_id < 9000").count() / 4000)
+    assert max(shares) < 0.03
+    # what a filter of 2^16 bits lets through, filled to its 16 bits a key and sixteen times as full
+    h = np.random.default_rng(1).integers(-(1 << 63), 1 << 63, (1 << 17, 2))
+    passed = []
+    for n in (1 << 12, 1 << 16):
+        bits = np.zeros(1 << 16, bool)
+        bits[bloom.positions(h[:n], 1 << 16)] = True
+        passed.append(bloom.contains(np.packbits(bits), h[1 << 16 :], 1 << 16).mean())
+    assert passed[0] < 0.03 and passed[1] > 0.5
+    assert collapsed_records(df).agg(F.sum("copies")).first()[0] == 4100
+
+
 def test_form_duplicates_empty(spark):
     df = _report(spark, [])
     assert form_duplicates(df).count() == 0 and collapsed_records(df).count() == 0

@@ -5,8 +5,9 @@ import random
 
 import pytest
 from gritmill.llm import tokens as T
-from gritmill.llm.levels import coverage_features, prose_counts, reading_levels, word_ranks
-from gritmill.llm.mixing import apportion, mix, mix_shares, plan
+from gritmill.llm import levels
+from gritmill.llm.levels import coverage_features, prose_counts, reading_levels, word_counts, word_ranks
+from gritmill.llm.mixing import apportion, mix, mix_shares, plan, shard_seats
 from gritmill.llm.prose import read_prose
 
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(T.vocabulary_path()), reason="no vocabulary file here")
@@ -37,11 +38,33 @@ def test_apportion_equals_single_rounds():
 
 
 def test_plan_drops_sources_without_tokens():
-    seats = plan({"a": (0.5, 1), "b": (0.3, 2), "none": (0.2, 3)}, {"a": {0: 5000, 1: 5000}, "b": {0: 1000}}, block=10)
-    a, b = sum(n for (s, _), n in seats.items() if s == "a"), sum(n for (s, _), n in seats.items() if s == "b")
+    seats = plan({"a": (0.5, 1), "b": (0.3, 2), "none": (0.2, 3)}, {"a": 10000, "b": 1000}, block=10)
+    a, b = seats["a"], seats["b"]
     assert b <= 200 and abs(a / (a + b) - 0.5 / 0.8) < 0.01 and plan({}, {}) == {}
 
 
+def test_seats_of_shards_equal_single_rounds(spark):
+    """Over shards of like size, shards far apart, and seats up to the caps."""
+    rng = random.Random(5)
+    rows, want = [], {}
+    for i in range(60):
+        sizes = [rng.choice([1000 + rng.randrange(-40, 40), rng.randrange(1, 3000)] if i % 2 else [1000 + rng.randrange(-40, 40)]) for _ in range(rng.randrange(1, 40))]
+        cap, block = rng.randrange(1, 4), 16
+        most = sum(sizes) * cap // block
+        q = rng.choice([most, rng.randrange(0, most + 1), max(0, most - rng.randrange(5))])
+        w = {k: float(t) + k * 1e-7 for k, t in enumerate(sizes)}  # ties go to the first shard
+        got = apportion({k: float(t) for k, t in enumerate(sizes)}, q, {k: -(-t * cap // block) for k, t in enumerate(sizes)})
+        want[f"s{i}"] = got, q, len(w)
+        rows += [(f"s{i}", k, t, q, cap) for k, t in enumerate(sizes)]
+    got = {}
+    for r in shard_seats(spark.createDataFrame(rows, "source string, shard int, shard_total bigint, q bigint, cap int"), 16).collect():
+        got.setdefault(r.source, {})[r.shard] = r.seats
+    for s, (w, q, _) in want.items():
+        have = got.get(s, {})
+        assert sum(have.values()) == q
+        assert all(abs(have.get(k, 0) - n) <= 1 for k, n in w.items()) and sum(have.get(k, 0) != n for k, n in w.items()) <= 2
+
+
 @needs_vocabulary
 def test_mix(spark):
     rng = random.Random(6)
@@ -91,14 +114,17 @@ def test_reading_levels_on_held_out_grades(spark):
     assert reading_levels(df.limit(0), grades).count() == 0
 
 
-def test_coverage_rank_by_brute_force(spark):
+@pytest.mark.parametrize("ranked", [100_000, 3, 0])
+def test_coverage_rank_by_brute_force(spark, monkeypatch, ranked):
+    """The same ranks whether a document's words are among those that are broadcast, some of them or none."""
+    monkeypatch.setattr(levels, "RANKED", ranked)
     texts = ["the a the b " * 15 + "the a the rare one is in it", "the b c in it is of " * 9]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     counts = prose_counts(df)
     words = [w for t in texts for s in read_prose(t).sentences for w in s]
     freq = {w: words.count(w) for w in words}
     place = {w: sum(freq[v] >= n for v in freq) for w, n in freq.items()}
-    assert sorted(r.place for r in word_ranks(counts).collect()) == sorted(place.values())
+    assert sorted(r.place for r in word_ranks(word_counts(counts)).collect()) == sorted(place.values())
     import math
 
     for r in coverage_features(counts).collect():
@@ -111,3 +137,5 @@ def test_coverage_rank_by_brute_force(spark):
 def test_prose_parts():
     p = read_prose("# Head\n\nThe cat is in\nthe house. It is v1.2.3 of CamelCase now!\n\n- one item of it\n- the next\n\n```\nint x;\n```\nEnd of it")
     assert p.lang is None and [len(s) for s in p.sentences] == [6, 4, 4, 2, 3]
+    # a heading goes alone, also right before its paragraph
+    assert read_prose("## Head of it\nThe cat is in the house.\n#1 of all").sentences == [["the", "cat", "is", "in", "the", "house"]]
