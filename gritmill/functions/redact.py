@@ -20,13 +20,14 @@ LABELLED = (
     (r'(?i)("(?:api[_-]?key|apikey|authorization|x-api-key|access[_-]?token|secret|token)"?\s*[:=]\s*")[^"]{8,}(")', f"$1{MASK}$2"),
     (r"(?i)((?:api[_-]?key|apikey|access[_-]?token|secret)\s*[=:]\s*)[A-Za-z0-9._-]{16,}", f"$1{MASK}"),
 )
+#: Fixed value: what stands for a credential.
 PLACEHOLDER = r"(?i)^\s*(?:<[^>]*>|\$\{[^}]*\}|\.{3}|x+|REDACTED(?:\s*\*.*)?|YOUR[_A-Z-]*|CHANGE[_A-Z-]*|EXAMPLE[_A-Z-]*|set-[A-Za-z0-9_-]+)\s*\z"
 
 
 def scrub(c: Column) -> Column:
-    """Text without what is shaped like a credential; null stays null."""
+    """Text without what is shaped like a credential; null stays null. A shape without a label that says REDACTED itself stays."""
     for p in SHAPES:
-        c = F.regexp_replace(c, p, MASK)
+        c = F.regexp_replace(c, r"(?![\w.\-]*(?i:REDACTED))" + p, MASK)
     for p, to in LABELLED:
         c = F.regexp_replace(c, p, to)
     return c

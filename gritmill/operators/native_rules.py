@@ -101,6 +101,7 @@ def settled(hits: DataFrame, facts: DataFrame) -> DataFrame:
     return hits.where(~asks).unionByName(j.withColumn("hit", decided).select(*hits.columns))
 
 
+#: Fixed value: classes that one object serves all calls with.
 _HANDLER = r"class\s+\w*(Handler|Filter|Middleware|ExceptionHandler)"
 
 
@@ -112,6 +113,7 @@ def _shared_state(rule) -> Column:
     return F.when(code.rlike(_HANDLER) & F.arrays_overlap(fields, written), F.array(hit(rule, n, T.snippet(F.col("lines"), n, 0, 12))))
 
 
+#: Verbs of methods that change state.
 _VERBS = "Create|Delete|Update|Save|Insert|Add|Cancel|Submit|Authorize|Book|Release|Clone|Assign|Upload|Approve|Reject|Register|Remove"
 
 
@@ -293,8 +295,8 @@ STARTUP = [
     FileRule("startup-authz-middleware", "Endpoints without authorisation", ("B-002", "W-012"), "CRITICAL", "LIKELY", (862,), _authz, language="csharp"),
 ]
 STARTUP_FILES = r"(?i)(?:^|[/\\])(Startup|Program|Global)\.(cs|vb)\z|(?:^|[/\\])Startup\.\w+\.(?:cs|vb)\z"
-#: Folders and extensions of the tree that rules read, and its size limits.
-SKIPPED_DIRS = frozenset("bin obj packages node_modules tests test migrations .git .vs .idea .svn .sonarqube testresults".split())
+#: Folders of the tree that no rule reads, and the size from which a file is not read.
+SKIPPED_DIRS = ("bin", "obj", "packages", "node_modules", "tests", "test", "migrations", ".git", ".vs", ".idea", ".svn", ".sonarqube", "testresults")
 MAX_BYTES = 2 * 1024 * 1024
 
 
@@ -319,7 +321,9 @@ def prepare(files: DataFrame) -> DataFrame:
 
 
 def named(files: DataFrame) -> DataFrame:
-    return files.where("text IS NOT NULL AND path IS NOT NULL").select(F.coalesce("project", F.lit("")).alias("project"), F.translate("path", "\\", "/").alias("path"), "text")
+    skipped = "|".join(d.replace(".", r"\.") for d in SKIPPED_DIRS)
+    read = files.where("text IS NOT NULL AND path IS NOT NULL").where(~F.translate("path", "\\", "/").rlike(rf"(?i)(?:^|/)(?:{skipped})/"))
+    return read.where(F.octet_length("text") <= MAX_BYTES).select(F.coalesce("project", F.lit("")).alias("project"), F.translate("path", "\\", "/").alias("path"), "text")
 
 
 def missing_lockfile(files: DataFrame) -> DataFrame:

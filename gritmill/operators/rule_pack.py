@@ -13,6 +13,7 @@ RULES = (
     ("dotnet-inline-credential-assignment", r'(?i)\.\s*(Password|ClientSecret|ApiKey|SecretKey|AccessKey)\s*=\s*"([^"]{4,})"', 2, (r'(?i)=\s*"(\{[^}]*\}|changeme|placeholder|todo|)"',)),
     ("dotnet-weak-static-key", r'(?i)(?:encryptionkey|aeskey|cryptokey|machinekey|validationkey|decryptionkey)\s*"?\s*(?:=|value\s*=\s*)"?\s*([A-Za-z0-9+/=]{8,64})', 1, ()),
 )
+#: Paths that the pack lets pass.
 LET_PASS_PATHS = (r"(^|/)packages/", r"(^|/)(bin|obj)/", r"(^|/)node_modules/", r"(^|/)\.sonarqube/", r"(^|/)\.vs/", r"\.(dll|pdb|exe|nupkg|xml\.bak)$", r"(^|/)[^/]*\.xml$")
 
 

@@ -92,7 +92,7 @@ class LineRule:
         found = F.filter(F.transform(src, of), lambda h: h.isNotNull())
         if self.cap:
             found = F.slice(found, 1, self.cap)
-        gate = F.col("text").rlike(self.trigger.replace("^", "(?m)^") if self.trigger.startswith("^") else self.trigger)
+        gate = F.col("text").rlike("(?m)" + self.trigger)
         return F.when(gate & (F.col("path").rlike(self.paths) if self.paths else F.lit(True)), found)
 
 

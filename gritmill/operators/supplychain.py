@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gritmill.operators.baseline import first_by_key
+from gritmill.session import materialise
 from gritmill.sources.nuget import nuget_inventory
 
 FOUND = ["project", "rule", "severity", "confidence", "path", "line", "snippet"]
@@ -203,8 +204,8 @@ def restore_execution(inv: dict[str, DataFrame]) -> DataFrame:
 
 
 def supplychain_hits(items: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """All checks over NuGet items: FOUND columns."""
-    inv = nuget_inventory(items)
+    """All checks over NuGet items: FOUND columns. The items are written once, so files are parsed once for all checks."""
+    inv = nuget_inventory(materialise(items, "nuget-items"))
     parts = [dependency_confusion(inv), pinning(inv), lock_files(inv, files), risky_names(inv), restore_execution(inv)]
     out = parts[0]
     for p in parts[1:]:

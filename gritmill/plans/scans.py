@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gritmill.operators import correlate as C
 from gritmill.operators import rollups as R
+from gritmill.operators.numbering import number_within
 from gritmill.plans.registry import query
 from gritmill.session import table
 from gritmill.sources import scanners as S
@@ -81,7 +82,7 @@ query(
 
 
 def all_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of all four scanners' deliveries; `seq` follows tool, delivery and place in the delivery, as one long number."""
+    """Findings of all four scanners' deliveries; `seq` counts them by tool, delivery and place in the delivery."""
     t = lambda n: table(spark, sf_dir, n)
     keep = ["delivery_id", "repo"]
     parts = [
@@ -90,12 +91,13 @@ def all_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     out = None
     for i, p in enumerate(parts):
-        seq = (F.lit(i).cast("bigint") * (1 << 60)) + (F.col("delivery_id") * (1 << 28)) + (F.col("__run_no") * (1 << 16)) + F.col("__no")
         # files of one name in different repositories are different files
-        p = p.withColumn("seq", seq).withColumn("location", F.col("location").withField("file", F.concat_ws("/", "repo", "location.file")))
-        f = finish(p, keep)
+        p = p.withColumn("seq", F.lit(None).cast("bigint")).withColumn("__tool", F.lit(i)).withColumn("location", F.col("location").withField("file", F.concat_ws("/", "repo", "location.file")))
+        f = finish(p, [*keep, "__tool", "__run_no", "__no"])
         out = f if out is None else out.unionByName(f)
-    return out
+    place = ["__tool", "delivery_id", "__run_no", "__no"]
+    numbered = number_within(out.drop("seq").withColumn("__all", F.lit(0)), "__all", [F.col(c) for c in place], "seq")
+    return numbered.drop("__all", "__tool", "__run_no", "__no")
 
 
 @query("review_pipeline")

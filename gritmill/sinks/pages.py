@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from gritmill.operators import rollups as R
-from gritmill.schema import SEVERITIES
+from gritmill.schema import SEVERITIES, rank
 
 _ILLEGAL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
 _PAGE = re.compile(r"^[A-Z]+(?:-[A-Z]+)*-\d{3,}\.md$")
@@ -66,20 +66,21 @@ def markdown(findings: DataFrame, title: str = "Code review") -> Iterator[str]:
     for f in findings.orderBy("seq").toLocalIterator():
         name = f.findingId or "unlinked"
         yield f"| [{html(name)}](#{quote(name)}) {html(f.title)[:90]} | {f.severity} | `{html(_place(f))}` |\n"
-    for s in SEVERITIES:
-        if totals.get(s):
-            yield f"\n---\n\n# {s}\n\n"
-            for f in findings.where(F.col("severity") == s).orderBy("seq").toLocalIterator():
-                yield section(f) + "\n"
+    last = None
+    for f in findings.where(F.col("severity").isin(*SEVERITIES)).orderBy(rank(F.col("severity"), SEVERITIES), "seq").toLocalIterator():
+        if f.severity != last:
+            yield f"\n---\n\n# {f.severity}\n\n"
+            last = f.severity
+        yield section(f) + "\n"
 
 
 def vault_pages(findings: DataFrame, project: str = "project") -> dict[str, str]:
-    """SINK-08: the overview pages, each a query whose result is bounded by dimensions or a stated top list."""
+    """SINK-08: the overview pages, each a query over dimensions or the whole list of its findings, which streams through."""
     rows = lambda df, *cols: [[r[c] for c in cols] for r in df.collect()]
     risk = R.overall_risk(findings).first().risk
     top = R.top_findings(findings, 10).collect()
     dep = findings.withColumn("queue", R.dependency_queue()).where("queue IS NOT NULL")
-    listed = lambda df, n=500: rows(df.orderBy(*R.projection_order()).limit(n), "findingId", "severity", "title")
+    listed = lambda df: ((f.findingId, f.severity, f.title) for f in df.orderBy(*R.projection_order()).toLocalIterator())
     head = ["Finding", "Severity", "Title"]
     cov = findings.select(F.explode("tests").alias("case")).groupBy("case").agg(F.count("*").alias("n")).orderBy("case")
     return {
@@ -88,7 +89,7 @@ def vault_pages(findings: DataFrame, project: str = "project") -> dict[str, str]
         "02-Tool-Results.md": "# Tools\n\n" + table(["Tool", "Reported", "Missed"], rows(R.tool_pivot(findings).orderBy("tool"), "tool", "reported", "missed")),
         "03-Dependencies-Security.md": "# Dependencies with advisories\n\n" + table(head, listed(dep.where("queue = 'security'"))),
         "04-Dependencies-Maintenance.md": "# Dependencies to maintain\n\n" + table(head, listed(dep.where("queue = 'maintenance'"))),
-        "05-Test-Coverage.md": "# Cases\n\n" + table(["Case", "Findings"], rows(cov.limit(1000), "case", "n")),
+        "05-Test-Coverage.md": "# Cases\n\n" + table(["Case", "Findings"], rows(cov, "case", "n")),
         "06-Configuration.md": "# Configuration\n\n" + table(head, listed(findings.where("category = 'configuration'"))),
         "07-Correlation-and-Dedup.md": "# Tools that missed\n\n" + table(["Tool", "Missed"], rows(R.false_negatives(findings).orderBy("tool"), "tool", "n")),
         "08-Remediation-Roadmap.md": "# Roadmap\n\n" + table(["Priority", "Findings"], rows(R.roadmap(findings).orderBy("priority"), "priority", "n")),
@@ -134,15 +135,17 @@ def _sheet(name: str, rows: Iterable[Iterable[object]]) -> str:
 
 
 def spreadsheet(findings: DataFrame, coverage: DataFrame | None = None, most: int = 100_000) -> str:
-    """SINK-05: SpreadsheetML with the sheets Summary, Findings and Coverage; the findings sheet takes `most` rows, the bound of such files."""
+    """SINK-05: SpreadsheetML with the sheets Summary, Findings and Coverage; findings go on in further sheets after `most` rows each."""
     summary: list[list[object]] = [["Summary", ""], ["Total findings", findings.count()]]
     summary += [[r.severity, r.n] for r in R.severity_totals(findings).collect() if r.n]
     summary += [[r.tool, r.reported, r.missed] for r in R.tool_pivot(findings).orderBy("tool").collect()]
     summary += [[r.value, r.n] for r in R.counts_by(findings, "category").orderBy(F.desc("n"), "value").collect()]
     head = "ID Severity Title CWE CVSS File Line Found-by Missed-by Confidence Status Remediation".split()
-    rows = [[f.findingId, f.severity, f.title, ", ".join(f.cwe or []), f.cvss.score if f.cvss else "", f.location.file if f.location else "", (f.location and f.location.startLine) or "", ", ".join(_tools(f, "REPORTED")), ", ".join(_tools(f, "MISSED")), f.confidence, f.status or "OPEN", (f.recommendation or "")[:1000]] for f in findings.orderBy("seq").limit(most).toLocalIterator()]
+    rows = [[f.findingId, f.severity, f.title, ", ".join(f.cwe or []), f.cvss.score if f.cvss else "", f.location.file if f.location else "", (f.location and f.location.startLine) or "", ", ".join(_tools(f, "REPORTED")), ", ".join(_tools(f, "MISSED")), f.confidence, f.status or "OPEN", f.recommendation or ""] for f in findings.orderBy("seq").toLocalIterator()]
     cov = [["Catalog case", "Decided by", "Findings"]] + ([[r.caseId, ", ".join(r.decided_by), ", ".join(r.finding_ids)] for r in R.coverage_sheet(coverage, findings).orderBy("caseId").collect()] if coverage is not None else [["(no coverage in this run)", "", ""]])
-    sheets = _sheet("Summary", summary) + _sheet("Findings", [head, *rows]) + _sheet("Coverage", cov)
+    parts = [rows[i : i + most] for i in range(0, len(rows), most)] or [[]]
+    named = "".join(_sheet("Findings" if i == 0 else f"Findings {i + 1}", [head, *p]) for i, p in enumerate(parts))
+    sheets = _sheet("Summary", summary) + named + _sheet("Coverage", cov)
     style = '<Styles><Style ss:ID="h"><Font ss:Bold="1"/></Style></Styles>'
     return f'<?xml version="1.0" encoding="UTF-8"?>\n<Workbook xmlns="{SHEET_NS}" xmlns:ss="{SHEET_NS}">{style}{sheets}</Workbook>'
 
