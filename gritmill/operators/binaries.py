@@ -39,7 +39,7 @@ def missing_dependencies(assemblies: DataFrame) -> DataFrame:
     have = assemblies.select("project", F.lower(F.coalesce("name", F.regexp_extract("path", r"([^/\\]*)\.[^.]*\z", 1))).alias("n")).unionByName(assemblies.select("project", F.lower(F.regexp_extract("path", r"([^/\\]*)\.[^.]*\z", 1)).alias("n"))).distinct()
     refs = assemblies.where("managed").select("project", "path", F.explode("references").alias("r")).select("project", "path", F.col("r.name").alias("name"), F.col("r.version").alias("version"), F.lower("r.name").alias("n"))
     gone = refs.where("n <> ''").join(have, ["project", "n"], "left_anti").where(~F.col("n").rlike(r"^(system|microsoft\.(win32|csharp|visualbasic)|mscorlib|netstandard|windowsbase|presentation)"))
-    return first_by_key(gone, [F.col("project"), F.col("n")], [F.col("path"), F.col("name")])
+    return first_by_key(gone, [F.col("project"), F.col("n")], [F.col("path"), F.col("name"), F.col("version")])
 
 
 def binary_findings(assemblies: DataFrame, redirects: DataFrame | None = None, strict: bool = True) -> DataFrame:
@@ -59,7 +59,7 @@ def binary_findings(assemblies: DataFrame, redirects: DataFrame | None = None, s
     parts.append(_row(conflicts.join(where, ["project", "name"]), "binary-version-conflict", "MEDIUM", F.concat_ws(" ", "name", F.array_join("versions", ", "))))
     from pyspark.sql import Window
 
-    gone = missing_dependencies(assemblies).withColumn("rn", F.row_number().over(Window.partitionBy("project").orderBy("path", "name"))).where(F.col("rn") <= MISSING_MOST)
+    gone = missing_dependencies(assemblies).withColumn("rn", F.row_number().over(Window.partitionBy("project").orderBy("path", "name", "version"))).where(F.col("rn") <= MISSING_MOST)
     parts.append(_row(gone, "binary-missing-dependency", "LOW", F.concat_ws(" ", "name", "version")))
     if redirects is not None:
         major = lambda c: F.get(version_key(F.col(c)), F.lit(0))

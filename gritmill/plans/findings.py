@@ -92,11 +92,32 @@ UNION ALL SELECT seq, concept, 'rule:' || upper(subcategory) || ':' || f || ':'
 query("correlate_keys", KEYS_SQL)(_of(lambda f: C.with_keys(f).select("seq", "concept", F.explode("keys").alias("k"))))
 
 
-@query("correlate_greedy")
-def correlate_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The exact greedy merge with attribution and ids; order-dependent, so tests hold it against a plain loop."""
-    out, _ = C.correlate(findings(spark, sf_dir), ["roslyn", "gitleaks", "trivy", "snyk", "semgrep", "sonarqube"])
-    return out.select("seq", "findingId", "severity", "confidence", "merged", F.size("sources").alias("n_sources"))
+def crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`report` with three files a repository, so that findings meet: the repository stands in the path."""
+    r = findings(spark, sf_dir).withColumn("__i", F.col("seq"))
+    repo = table(spark, sf_dir, "report").select(F.col("row_id").alias("__i"), F.coalesce("repo", F.lit("")).alias("__repo"))
+    file = F.concat("__repo", F.lit("/src/"), (F.col("__i") % 3).cast("string"), F.lit(".cs"))
+    where = F.col("location").withField("file", file).withField("startLine", (F.col("__i") % 30).cast("int"))
+    return r.join(repo, "__i").withColumn("location", where).drop("__i", "__repo")
+
+
+_CROWDED = (
+    "rep AS (SELECT * REPLACE (CASE WHEN location IS NOT NULL THEN {'file': coalesce(repo, '') || '/src/' || (row_id % 3) || '.cs', 'startLine': CAST(row_id % 30 AS INTEGER)} END AS location) FROM report)"
+)
+#: The merge as a fold over the findings in order; the state maps each key to the finding that claimed it first.
+_FOLD = f"""
+WITH RECURSIVE {_CROWDED},
+keys AS ({KEYS_SQL.replace("FROM report", "FROM rep")}),
+ks AS (SELECT row_id AS seq, row_number() OVER (ORDER BY row_id) AS i, coalesce(ks, []) AS ks FROM rep LEFT JOIN (SELECT seq, list(k ORDER BY CASE WHEN k LIKE 'concept:%' THEN 0 WHEN k LIKE 'conceptfile:%' THEN 1 ELSE 2 END) AS ks FROM keys GROUP BY seq) ON seq = row_id),
+fold AS (
+  SELECT CAST(0 AS BIGINT) AS i, MAP(CAST([] AS VARCHAR[]), CAST([] AS BIGINT[])) AS own, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS target
+  UNION ALL
+  SELECT i, map_concat(MAP(list_distinct(ks), list_transform(list_distinct(ks), lambda x: t)), own), seq, t
+  FROM (SELECT k.i, k.seq, k.ks, fold.own, coalesce(list_filter(list_transform(k.ks, lambda x: fold.own[x]), lambda v: v IS NOT NULL)[1], k.seq) AS t FROM fold JOIN ks k ON k.i = fold.i + 1)
+)
+SELECT target AS seq, CAST(count(*) - 1 AS INTEGER) AS merged, arg_min(severity, [{RANKS.format(c="severity")}, row_id]) AS severity, arg_min(confidence, [{CONF.format(c="confidence")}, row_id]) AS confidence FROM fold JOIN rep ON rep.row_id = fold.seq GROUP BY target
+"""
+query("correlate_greedy", _FOLD)(lambda spark, d: C.merged_findings(crowded(spark, d)).select("seq", "merged", "severity", "confidence"))
 
 
 @query("correlation_stats")

@@ -129,7 +129,7 @@ UNION ALL SELECT project, 'binary-pdb-path', 'LOW', path, 'C:\\src\\a' || k || '
 UNION ALL SELECT project, 'binary-known-vulnerable-reference', 'HIGH', path, r.n || ' ' || r.v FROM refs WHERE r.v = '12.0.0.0' OR (r.n = 'log4net' AND length(r.v) = 5)
 UNION ALL SELECT project, 'binary-string', s.sev, path, s.d FROM a, (VALUES ('MEDIUM', 'binary-internal-endpoint: http://inner'), ('HIGH', 'binary-secret: pwd=***')) AS s(sev, d) WHERE i % 8 = 0
 UNION ALL SELECT v.project, 'binary-version-conflict', 'MEDIUM', (SELECT min(path) FROM m WHERE m.project = v.project AND lower(m.name) = v.name), v.name || ' ' || array_to_string(vs, ', ') FROM v
-UNION ALL SELECT project, 'binary-missing-dependency', 'LOW', path, name || ' ' || version FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY path, name) AS k FROM (SELECT * FROM gone QUALIFY row_number() OVER (PARTITION BY project, lower(name) ORDER BY path, name) = 1)) WHERE k <= 20
+UNION ALL SELECT project, 'binary-missing-dependency', 'LOW', path, name || ' ' || version FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY path, name, version) AS k FROM (SELECT * FROM gone QUALIFY row_number() OVER (PARTITION BY project, lower(name) ORDER BY path, name, version) = 1)) WHERE k <= 20
 UNION ALL SELECT coalesce(repo, '(none)'), 'binary-binding-redirect', CASE WHEN row_id % 5 = 0 AND row_id % 3 < 2 THEN 'HIGH' WHEN row_id % 3 <> 0 THEN 'MEDIUM' ELSE 'LOW' END, 'app.config', CASE WHEN row_id % 5 = 0 THEN 'log4net' ELSE 'Some.Lib' END || ' 1.0.0.0-1.9.0.0 -> ' || (row_id % 3 + 1) || '.0.0.0' FROM report
 UNION ALL SELECT project, 'binary-no-decompiler', 'INFO', min(path), 'managed code was not decompiled' FROM m GROUP BY project
 """
