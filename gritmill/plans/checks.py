@@ -140,7 +140,7 @@ query(
 )(lambda spark, d: _rule_hits(spark, d, N.SETTINGS, SETTINGS, "appsettings.json", "{"))
 _GONE = ", ".join(f"'{t}'" for t, d in N.END_OF_SUPPORT.items() if f"{d}T23:59:59" <= NOW)
 _MANIFEST_SQL = [
-    _first("manifest-eol-tfm", "HIGH", "<TargetFramework", f"regexp_extract(text, 'TargetFramework\w*>([^<]+)<', 1) IN ({_GONE})"),
+    _first("manifest-eol-tfm", "HIGH", "<TargetFramework", rf"regexp_extract(text, 'TargetFramework\w*>([^<]+)<', 1) IN ({_GONE})"),
     _first("manifest-floating-version", "MEDIUM", r'(?i)<package(?:Reference)?\s+[^>]*version\s*=\s*"(?:[^"]*[\s*][^"]*)?"'),
     _first("manifest-unsafe-blocks", "LOW", r"(?i)<AllowUnsafeBlocks\s*>\s*true\s*<"),
 ]
