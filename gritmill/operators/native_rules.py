@@ -138,6 +138,7 @@ def _toctou(rule) -> Column:
     return F.when(F.col("text").contains("File.Exists"), F.filter(F.transform("code", of), lambda h: h.isNotNull()))
 
 
+#: Rules of whole source files, with their severities and cases.
 CSHARP_FILES = [
     FileRule("cs-antiforgery", "State-changing action without an anti-forgery check", ("D-008", "T-004"), "HIGH", "LIKELY", (352,), _antiforgery, language="csharp"),
     FileRule("cs-controller-no-authorization", "Controller without any authorisation", ("B-001", "B-010"), "HIGH", "LIKELY", (862,), _no_authorization, language="csharp"),
@@ -184,6 +185,7 @@ def _limits(rule) -> Column:
 
 
 _CRED = r'(?i)(password|pwd)\s*=\s*([^;"\s][^;]*)'
+#: Patterns, severities and cases of configuration rules.
 CONFIG = [
     FileRule("web-debug-compilation", "Debug compilation", ("N-006",), "MEDIUM", "CONFIRMED", (11,), first_match(r'(?i)<compilation[^>]*\bdebug\s*=\s*"true"[^>]*>', redact=True), category="configuration"),
     FileRule("web-custom-errors-off", "Error details sent to all callers", ("H-002", "H-001"), "HIGH", "CONFIRMED", (209,), first_match(r'(?i)<customErrors[^>]*\bmode\s*=\s*"Off"[^>]*>'), category="configuration"),
@@ -214,6 +216,7 @@ CONFIG = [
 
 
 _SETTING = r'(?i)"(\w*(?:password|passwd|pwd|secret|apikey|api_key|token|connectionstring|connstr)\w*)"\s*:\s*"([^"]{4,})"'
+#: The pattern and the cases of settings files.
 SETTINGS = [
     FileRule(
         "web-appsettings-secret", "Credential in settings", ("E-001", "M-001"), "CRITICAL", "CONFIRMED", (798,),
@@ -288,6 +291,7 @@ def _authz(rule) -> Column:
     return F.when(ok, F.array(hit(rule, n, T.snippet(F.col("lines"), n, 0, 4))))
 
 
+#: Rules of start-up files, with their severities and cases.
 STARTUP = [
     FileRule("startup-security-headers", "Start-up sets no security headers", ("N-004", "F-005"), "MEDIUM", "LIKELY", (693,), _headers, category="configuration", language="csharp"),
     FileRule("startup-cors", "Any origin allowed", ("N-001", "N-002", "N-003"), "HIGH", "LIKELY", (942,), _cors, language="csharp"),

@@ -13,13 +13,20 @@ FOUND = ["project", "rule", "severity", "confidence", "path", "line", "snippet"]
 LIST_MOST, HOOK_MOST, NAME_MOST = 12, 8, 20
 #: Package ids whose near-misses are suspicious.
 WELL_KNOWN = (
-    "Newtonsoft.Json EntityFramework Microsoft.EntityFrameworkCore Dapper AutoMapper Serilog NLog log4net Moq xunit NUnit MSTest.TestFramework FluentAssertions RestSharp HtmlAgilityPack MediatR FluentValidation Polly "
-    "StackExchange.Redis RabbitMQ.Client protobuf-net CsvHelper EPPlus MailKit MimeKit Autofac Ninject Hangfire Quartz Castle.Core NSubstitute Shouldly Bogus Swashbuckle.AspNetCore Microsoft.Extensions.Logging "
-    "Microsoft.Extensions.DependencyInjection Microsoft.Extensions.Configuration Microsoft.Extensions.Hosting Microsoft.AspNetCore.Mvc Microsoft.Data.SqlClient System.Data.SqlClient Npgsql MySql.Data Microsoft.Owin Owin "
-    "Microsoft.AspNet.WebApi.Client Microsoft.AspNet.Mvc jQuery bootstrap Microsoft.IdentityModel.Tokens System.IdentityModel.Tokens.Jwt IdentityServer4 Grpc.AspNetCore Microsoft.AspNetCore.SignalR WindowsAzure.Storage "
-    "Azure.Storage.Blobs AWSSDK.Core SixLabors.ImageSharp SkiaSharp iTextSharp PdfSharp NodaTime Humanizer Refit Mapster Microsoft.EntityFrameworkCore.SqlServer Microsoft.AspNetCore.Authentication.JwtBearer "
-    "Microsoft.NET.Test.Sdk Coverlet.Collector StyleCop.Analyzers SonarAnalyzer.CSharp"
-).split()
+    "Newtonsoft.Json", "EntityFramework", "Microsoft.EntityFrameworkCore", "Dapper", "AutoMapper", "Serilog",
+    "NLog", "log4net", "Moq", "xunit", "NUnit", "MSTest.TestFramework", "FluentAssertions", "RestSharp",
+    "HtmlAgilityPack", "MediatR", "FluentValidation", "Polly", "StackExchange.Redis", "RabbitMQ.Client",
+    "protobuf-net", "CsvHelper", "EPPlus", "MailKit", "MimeKit", "Autofac", "Ninject", "Hangfire", "Quartz",
+    "Castle.Core", "NSubstitute", "Shouldly", "Bogus", "Swashbuckle.AspNetCore", "Microsoft.Extensions.Logging",
+    "Microsoft.Extensions.DependencyInjection", "Microsoft.Extensions.Configuration",
+    "Microsoft.Extensions.Hosting", "Microsoft.AspNetCore.Mvc", "Microsoft.Data.SqlClient", "System.Data.SqlClient",
+    "Npgsql", "MySql.Data", "Microsoft.Owin", "Owin", "Microsoft.AspNet.WebApi.Client", "Microsoft.AspNet.Mvc",
+    "jQuery", "bootstrap", "Microsoft.IdentityModel.Tokens", "System.IdentityModel.Tokens.Jwt", "IdentityServer4",
+    "Grpc.AspNetCore", "Microsoft.AspNetCore.SignalR", "WindowsAzure.Storage", "Azure.Storage.Blobs", "AWSSDK.Core",
+    "SixLabors.ImageSharp", "SkiaSharp", "iTextSharp", "PdfSharp", "NodaTime", "Humanizer", "Refit", "Mapster",
+    "Microsoft.EntityFrameworkCore.SqlServer", "Microsoft.AspNetCore.Authentication.JwtBearer",
+    "Microsoft.NET.Test.Sdk", "Coverlet.Collector", "StyleCop.Analyzers", "SonarAnalyzer.CSharp",
+)
 
 
 def _row(df: DataFrame, rule: str, severity: Column | str, confidence: Column | str, path: str = "path", line: Column | str = "line", snippet: Column | str = "snippet") -> DataFrame:

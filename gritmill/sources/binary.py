@@ -6,6 +6,7 @@ One assembly is one value, read by one task; nothing of it is executed. All read
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import struct
 from collections.abc import Iterator
@@ -28,6 +29,8 @@ CODED = {
     "MemberForwarded": (1, (0x04, 0x06)), "Implementation": (2, (0x26, 0x23, 0x27)), "CustomAttributeType": (3, (-1, -1, 0x06, 0x0A, -1)), "ResolutionScope": (2, (0x00, 0x1A, 0x23, 0x01)), "TypeOrMethodDef": (1, (0x02, 0x06)),
 }
 MAX_BYTES = 200 << 20
+#: Bounds of the search for widened columns: columns of a table, and choices tried.
+MOST_WIDENED, MOST_STEPS = 4, 20_000
 JIT_OPTIMISER_OFF = 0x100
 MAX_USER_STRINGS, MAX_RAW_STRINGS, MIN_RAW = 20_000, 50_000, 8
 
@@ -141,12 +144,60 @@ class Metadata:
         if wide & 0x40:
             at += 4
         self.size = {"S": 4 if wide & 1 else 2, "G": 4 if wide & 2 else 2, "B": 4 if wide & 4 else 2}
+        self.tables = t
         self.place: dict[int, tuple[int, list[int]]] = {}
-        for i, n in self.rows.items():
-            widths = [self._width(c) for c in TABLES[i].split()]
+        for i, widths in zip(self.rows, self._layout(at)):
             self.place[i] = at, widths
-            at += n * sum(widths)
-        self.tables = t
+            at += self.rows[i] * sum(widths)
+
+    def _layout(self, start: int) -> list[list[int]]:
+        """Widths of each table's columns. Where those that the row counts ask for do not end with the stream, as some
+        compilers write indices wider than they need to, the first choice of widened indices that does and whose rows
+        refer to what exists; without one, the widths by the row counts."""
+        order = list(self.rows)
+        plain = [[self._width(c) for c in TABLES[i].split()] for i in order]
+        spare = len(self.tables) - start - sum(self.rows[i] * sum(w) for i, w in zip(order, plain))
+        if 0 <= spare < 4:
+            return plain
+        steps = [0]
+
+        def choices(k: int) -> Iterator[list[int]]:
+            cols = TABLES[order[k]].split()
+            narrow = [c for c, w in enumerate(plain[k]) if w == 2 and cols[c] not in ("u2", "S", "G", "B")][:MOST_WIDENED]
+            for n in range(len(narrow) + 1):
+                for wider in itertools.combinations(narrow, n):
+                    yield [4 if c in wider else w for c, w in enumerate(plain[k])]
+
+        def fit(k: int, at: int, spare: int) -> list[list[int]] | None:
+            if k == len(order):
+                return [] if 0 <= spare < 4 else None
+            for widths in choices(k):
+                more = self.rows[order[k]] * (sum(widths) - sum(plain[k]))
+                steps[0] += 1
+                if more > spare or steps[0] > MOST_STEPS or not self._sound(order[k], at, widths):
+                    continue
+                rest = fit(k + 1, at + self.rows[order[k]] * sum(widths), spare - more)
+                if rest is not None:
+                    return [widths, *rest]
+            return None
+
+        return fit(0, start, spare) or plain
+
+    def _sound(self, table: int, at: int, widths: list[int]) -> bool:
+        """Whether the first rows of a table, read with these widths, refer to heaps and tables within their sizes."""
+        self.place[table] = at, widths
+        heap = {"S": "#Strings", "B": "#Blob"}
+        for n in range(1, min(self.rows[table], 32) + 1):
+            for c, v in zip(TABLES[table].split(), self.row(table, n)):
+                if c in heap and v > len(self.streams.get(heap[c], b"")):
+                    return False
+                if c in CODED:
+                    to, at_row = self.decode(c, v)
+                    if at_row and (to < 0 or at_row > self.rows.get(to, 0)):
+                        return False
+                elif c not in ("u2", "u4", "S", "G", "B") and v > self.rows.get(int(c, 16), 0) + 1:
+                    return False
+        return True
 
     def _width(self, c: str) -> int:
         if c in self.size:

@@ -351,6 +351,17 @@ SOURCES = {
 }
 
 
+def register_source(source: Source) -> None:
+    """Adds a kind of scanner output from outside this package; one that breaks the contract is refused."""
+    from gritmill.operators.catalog import source_problems
+
+    if problems := source_problems(source):
+        raise ValueError(f"source {source.id}: {'; '.join(problems)}")
+    if source.id in SOURCES:
+        raise ValueError(f"source {source.id} is there already")
+    SOURCES[source.id] = source
+
+
 def read_source(raw: DataFrame, source: str, order: list[str], root: str = "") -> DataFrame:
     """`order` columns and findings of raw texts in column ``raw``."""
     if source not in SOURCES:

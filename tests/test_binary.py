@@ -7,7 +7,7 @@ from gritmill.sources.binary import assemblies, binding_redirects, deps_targets,
 from pyspark.sql import functions as F
 
 
-def build(refs=(("Newtonsoft.Json", (9, 0, 0, 0)), ("Gone.Lib", (1, 0, 0, 0))), debug=True, text="Server=a;Database=b;Password=hunter22"):
+def build(refs=(("Newtonsoft.Json", (9, 0, 0, 0)), ("Gone.Lib", (1, 0, 0, 0))), debug=True, text="Server=a;Database=b;Password=hunter22", scope="H"):
     strings, blobs = bytearray(b"\0"), bytearray(b"\0")
 
     def s(x):
@@ -23,7 +23,7 @@ def build(refs=(("Newtonsoft.Json", (9, 0, 0, 0)), ("Gone.Lib", (1, 0, 0, 0))),
     tfm = b".NETFramework,Version=v4.5"
     rows = {
         0x00: [struct.pack("<HHHHH", 0, s("App.dll"), 1, 0, 0)],
-        0x01: [struct.pack("<HHH", 6, s("DebuggableAttribute"), s("System.Diagnostics")), struct.pack("<HHH", 6, s("TargetFrameworkAttribute"), s("System.Runtime.Versioning"))],
+        0x01: [struct.pack(f"<{scope}HH", 6, s("DebuggableAttribute"), s("System.Diagnostics")), struct.pack(f"<{scope}HH", 6, s("TargetFrameworkAttribute"), s("System.Runtime.Versioning"))],
         0x0A: [struct.pack("<HHH", 1 << 3 | 1, s(".ctor"), 0), struct.pack("<HHH", 2 << 3 | 1, s(".ctor"), 0)],
         0x0C: [struct.pack("<HHH", 1 << 5 | 14, 1 << 3 | 3, b(b"\x01\0" + struct.pack("<I", 0x107 if debug else 2) + b"\0\0")), struct.pack("<HHH", 1 << 5 | 14, 2 << 3 | 3, b(b"\x01\0" + bytes([len(tfm)]) + tfm + b"\0\0"))],
         0x20: [struct.pack("<IHHHHIHHH", 0x8004, 1, 2, 3, 4, 0, 0, s("App"), 0)],
@@ -66,6 +66,12 @@ def test_inspect():
         assert inspect(bad)["problem"]
 
 
+def test_widened_columns():
+    """Indices written wider than the row counts ask for are found by where the tables end and what their rows refer to."""
+    plain, wide = inspect(build()), inspect(build(scope="I"))
+    assert wide == plain and wide["references"]
+
+
 def test_strings():
     assert string_rules("https://wiki.corp/x") == ["binary-internal-endpoint"] and string_rules("https://example.com") == []
     assert string_rules("AKIA" + "A" * 16) == ["binary-api-key-shape"] and string_rules("get_password=abc") == []
