@@ -120,9 +120,17 @@ SELECT target AS seq, CAST(count(*) - 1 AS INTEGER) AS merged, arg_min(severity,
 query("correlate_greedy", _FOLD)(lambda spark, d: C.merged_findings(crowded(spark, d)).select("seq", "merged", "severity", "confidence"))
 
 
-@query("correlation_stats")
-def correlation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.correlation_stats(C.merged_findings(findings(spark, sf_dir)))
+query(
+    "correlation_stats",
+    _FOLD[: _FOLD.rindex("SELECT target AS seq")].rstrip()
+    + """,
+e AS (SELECT target, row_id, unnest(sources) AS s, generate_subscripts(sources, 1) AS k FROM fold JOIN rep ON rep.row_id = fold.seq),
+u AS (SELECT * FROM e QUALIFY row_id = target OR row_number() OVER (PARTITION BY target, s.tool, coalesce(s.sourceFindingId, '') ORDER BY row_id, k) = 1),
+c AS (SELECT target, count(*) AS n, len(list_distinct(list(coalesce(s.tool, chr(0))))) AS tools FROM u WHERE s.status = 'REPORTED' GROUP BY 1),
+t AS (SELECT count(*) AS n, count(DISTINCT target) AS kept FROM fold WHERE target IS NOT NULL)
+SELECT n AS inputFindings, kept AS canonicalFindings, n - kept AS mergedAway, round((n - kept) / n, 3) AS dedupRatio, (SELECT count(*) FROM c WHERE c.n > 1) AS multiToolConfirmed, (SELECT count(*) FROM c WHERE tools > 1) AS distinctToolsConfirmed FROM t
+""",
+)(lambda spark, d: C.correlation_stats(C.merged_findings(crowded(spark, d))))
 
 
 query(
