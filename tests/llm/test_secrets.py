@@ -145,3 +145,19 @@ def test_a_key_block_cut_off_hides_nothing():
     found = candidates(cut + '\n"Pwd": "Falcon-Tin77!"\n' + PEM)
     assert [f.issued for f in found] == [True, False, True] and found[0].value == cut
     assert [f.value for f in values('"Pwd": "changeme"')] == ["changeme"] and candidates('"Pwd": "changeme"') == []
+
+
+def test_values_with_one_opening_do_not_multiply(spark):
+    """A text is joined with the values that it holds, not with all that open alike; values of any number of words are found, openings of others among them."""
+    blocks = ["-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(f"{n}{i}A1b2C3d4" * 4 for n in range(9)) + "\n-----END RSA PRIVATE KEY-----" for i in range(10, 30)]
+    chain = [".".join(f"w{k}q" for k in range(n)) for n in range(2, 27)]
+    rows = [(i, f"r{i}", b) for i, b in enumerate(blocks)] + [(100 + n, "s", f'"ApiKey": "{v}"') for n, v in enumerate(chain)]
+    rows += [(200 + n, "t", f"x\nf({v})") for n, v in enumerate(chain)] + [(300 + i, "u", f"a\nb\n{b}") for i, b in enumerate(blocks)]
+    tables = _tables(spark, rows)
+    search = Search(*tables)
+    held = {r.row_id: r.words for r in search.texts().collect()}
+    search.close()
+    assert all(held[n + i] == [b] for i, b in enumerate(blocks) for n in (0, 300))
+    assert all(sorted(held[n + i]) == sorted(chain[: i + 1]) for i in range(len(chain)) for n in (100, 200))
+    want = {(n + i, p) for n, p in ((0, "1"), (300, "3")) for i in range(len(blocks))} | {(n + i, p) for n, p in ((100, "1"), (200, "2")) for i in range(len(chain))}
+    assert {(r.rec_id, r.pos) for r in found_places(*tables).collect()} == want
